@@ -46,17 +46,32 @@ class Pieces:
         self.number = {p: i for i, p in enumerate(names)}
         self.size = len(names) + 1
         self.longest = max(map(len, names))
+        self.trie = {p[:n]: -1 for p in names for n in range(1, len(p))} | self.number  # -1: only longer pieces
         self.lengths = np.array([*map(len, names), 1])
 
     def lattice(self, words: list[str]) -> np.ndarray:
         """Of words of one length n: [word, end - 1, length - 1] -> piece number, or -1."""
         n = len(words[0]) + 1
         span = min(self.longest, n)
-        out = np.full((len(words), n, span), -1, np.int32)
-        get, unknown = self.number.get, self.size - 1
+        out = np.full(len(words) * n * span, -1, np.int32)
+        get, at, found = self.trie.get, [], []
         for w, word in enumerate(words):
-            s = SPACE + word
-            out[w] = [[(get(s[e - l : e], unknown if l == 1 else -1) if l <= e else -1) for l in range(1, span + 1)] for e in range(1, n + 1)]
+            s, base = SPACE + word, w * n * span
+            for a in range(n):
+                spot = base + a * span
+                for e in range(a + 1, n + 1):
+                    p = get(s[a:e])
+                    if p is None:
+                        break
+                    if p >= 0:
+                        at.append(spot)
+                        found.append(p)
+                    spot += span + 1
+                if s[a] not in self.number:
+                    at.append(base + a * span)
+                    found.append(self.size - 1)
+        out[at] = found
+        out = out.reshape(len(words), n, span)
         return out
 
 
