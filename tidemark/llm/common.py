@@ -77,6 +77,16 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return renamed.select(*[F.col(f"_c{i}").alias(n) for i, n in zip(out, names)])
 
 
+def set_apart(df: DataFrame, *names: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` with its columns renamed by position, then ``names`` (found as pick() does) once more under their own names, and what selects the columns it came with."""
+    own = [f"_c{i}" for i in range(len(df.columns))]
+    found = [[i for i, c in enumerate(df.columns) if c == n] or [i for i, c in enumerate(df.columns) if c.lower() == n.lower()] for n in names]
+    for n, hits in zip(names, found):
+        if not hits:
+            raise ValueError(f"column {n} is missing; there are {df.columns}")
+    return df.toDF(*own).select("*", *[F.col(own[h[0]]).alias(n) for n, h in zip(names, found)]), [F.col(c).alias(n) for c, n in zip(own, df.columns)]
+
+
 def crc32_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id's decimal text, modulo m. A null id has remainder null."""
     return F.crc32(doc_id.cast("string").cast("binary")) % m

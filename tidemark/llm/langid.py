@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc32_mod, pick, text_slices
+from .common import bounded_batches, crc32_mod, pick, set_apart, text_slices
 from .spm import SPACE, Transducer, default_model
 
 SAMPLE, MAX_WORDS, ROUNDS = 400, 20_000, 3
@@ -246,5 +246,6 @@ def identify(docs: DataFrame) -> DataFrame:
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is known, with a posterior of ``least`` or more."""
     fitted = fit(pick(docs, "doc_id", "text", "lang").where(~held_out(F.col("doc_id"))))
+    rows, columns = set_apart(docs, "text")
     p = predictor(docs.sparkSession, fitted)(F.col("text"))
-    return docs.where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least))
+    return rows.where((p["lang_pred"] != UNKNOWN) & (p["score"] >= least)).select(*columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, drop_tables, hash_words, materialize, mix, pick, shingles, text_slices, utf8, words
+from .common import bounded_batches, drop_tables, hash_words, materialize, mix, pick, set_apart, shingles, text_slices, utf8, words
 from .components import components
 from .superminhash import SLOTS, signatures
 
@@ -225,6 +225,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, block: int =
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose id names their group, one row for each id, with the columns they came with."""
-    kept = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct()
-    return docs.join(materialize(kept, "kept"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The documents whose id names their group, with the columns they came with.
+
+    Rows of one id are one document, of which one row stays. Rows without an id can't be told apart and all stay.
+    """
+    rows, columns = set_apart(docs, "doc_id")
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("long"))
+    kept = materialize(near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct(), "kept")
+    named = rows.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*columns).union(rows.where("doc_id is null").select(*columns))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import drop_tables, materialize, pick
+from .common import drop_tables, materialize, pick, set_apart
 
 MAX_EPOCHS = 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,9 +55,14 @@ def plan(docs: DataFrame, seed: int = 0, max_epochs: int = MAX_EPOCHS) -> DataFr
     source; ids may be null or repeat. Texts without words are repeated as their source's others are.
     Sources without words have target 0. Runs over the same rows agree.
     """
-    cols = pick(docs, "doc_id", "text", "source").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return _plan(pick(docs, "doc_id", "text", "source"), seed, max_epochs)
+
+
+def _plan(docs: DataFrame, seed: int, max_epochs: int, *carried: str) -> DataFrame:
+    """plan(), with the columns that are ``carried`` along."""
+    cols = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     h = F.xxhash64(F.lit(seed), "doc_id")
-    sizes = cols.select("doc_id", "source", n_words(F.col("text")).alias("size"), h.alias("h"), F.monotonically_increasing_id().alias("row"))
+    sizes = cols.select("doc_id", *carried, "source", n_words(F.col("text")).alias("size"), h.alias("h"), F.monotonically_increasing_id().alias("row"))
     sizes = materialize(sizes.withColumn("b1", F.shiftrightunsigned("h", 54).cast("int")).withColumn("b2", F.shiftrightunsigned("h", 44).bitwiseAND(1023).cast("int")), "sizes")
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     # a row for each source; a table, so that Spark knows its size and broadcasts it only if that is small
@@ -81,8 +86,8 @@ def plan(docs: DataFrame, seed: int = 0, max_epochs: int = MAX_EPOCHS) -> DataFr
     off = F.abs(F.col("size") - F.col("missing"))
     best = below.where("not extra").join(short, "rank").where(off < F.col("missing")).groupBy("rank").agg(F.min(F.struct(off.alias("off"), "h", F.coalesce("doc_id", F.lit(-1)), "row")).alias("best"))
     best = materialize(best.select(F.col("best.row").alias("row"), F.lit(1).alias("last")), "last")
-    out = below.join(best, "row", "left").withColumn("repeats", (F.col("whole") + F.col("extra").cast("int") + F.coalesce("last", F.lit(0))).cast("int"))
-    out = out.select("doc_id", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+    out = below.join(best, "row", "left").withColumn("repeats", F.least(F.col("whole") + F.col("extra").cast("int") + F.coalesce("last", F.lit(0)), F.lit(max_epochs)).cast("int"))
+    out = out.select("doc_id", *carried, "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
     out = materialize(out, "mix")
     drop_tables(sizes, goal, one, two, near, short, best)
     return out
@@ -91,11 +96,16 @@ def plan(docs: DataFrame, seed: int = 0, max_epochs: int = MAX_EPOCHS) -> DataFr
 def mix(docs: DataFrame, seed: int = 0, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as plan() says, with the columns it came with.
 
-    Rows are told apart by doc_id: rows of one id count as one document, as often as their plans say together.
+    Rows that are equal in all columns (but maps) are one row, repeated as often as their plans say together.
     """
-    often = plan(docs, seed, max_epochs).groupBy("doc_id").agg(F.sum("repeats").alias("_often")).where("_often > 0")
-    found = docs.join(often, "doc_id").dropDuplicates(["doc_id"])
-    return found.withColumn("_often", F.explode(F.sequence(F.lit(1), F.col("_often").cast("int")))).select(*docs.columns)
+    rows, columns = set_apart(docs, "doc_id", "text", "source")
+    hashed = [F.col(f.name) for f in rows.schema if f.name[:2] == "_c" and "map<" not in f.dataType.simpleString()]
+    key = ["key_a", "key_b"]
+    rows = rows.withColumns({k: F.xxhash64(F.lit(k), *hashed) for k in key})  # 128 bits
+    often = _plan(rows.select("doc_id", "text", "source", *key), seed, max_epochs, *key)
+    often = often.groupBy(*key).agg(F.sum("repeats").cast("int").alias("often")).where("often > 0")
+    found = rows.join(often, key).dropDuplicates(key)
+    return found.withColumn("often", F.explode(F.sequence(F.lit(1), F.col("often")))).select(*columns)
 
 
 #: DuckDB: what doesn't depend on the sample.

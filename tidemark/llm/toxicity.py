@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, crc32_mod, pick, text_slices
+from .common import bounded_batches, crc32_mod, pick, set_apart, text_slices
 
 SAMPLE, MAX_TERMS, FACTORS = 4000, 4096, 8
 BITS = 18
@@ -55,7 +55,7 @@ class Machine:
         return out
 
 
-def train_machine(rows: list[np.ndarray], labels: np.ndarray, prior: float, max_terms: int = MAX_TERMS, factors: int = FACTORS, epochs: int = 120, seed: int = 7) -> Machine:
+def train_machine(rows: list[np.ndarray], labels: np.ndarray, prior: float, max_terms: int = MAX_TERMS, factors: int = FACTORS, epochs: int = 120, seed: int = 7, least_z: float = 6) -> Machine:
     """Full-batch Adam on weighted logistic loss with L2; deterministic."""
     labels = np.asarray(labels, float)
     if not len(rows) or labels.min() == labels.max():
@@ -70,7 +70,7 @@ def train_machine(rows: list[np.ndarray], labels: np.ndarray, prior: float, max_
     spread = with_term * (p / n) * (1 - p / n) * (1 - with_term / n)
     z = np.where((with_term >= 4) & (spread > 0), (positive - expected) ** 2 / np.maximum(spread, 1e-9), 0)
     kept = np.sort(np.argsort(-z, kind="stable")[:max_terms])
-    kept = kept[z[kept] > 6]  # terms that tell nothing apart only add noise
+    kept = kept[z[kept] > least_z]  # terms that tell nothing apart only add noise
     back = np.full(size, -1)
     back[kept] = np.arange(len(kept))
     ok = back[flat] >= 0
@@ -172,4 +172,5 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 def keep_clean(docs: DataFrame, machine: Machine) -> DataFrame:
     """The rows of ``docs`` that score below 0.5."""
-    return docs.where(scorer(docs.sparkSession, machine)(F.col("text")) < 0.5)
+    rows, columns = set_apart(docs, "text")
+    return rows.where(scorer(docs.sparkSession, machine)(F.col("text")) < 0.5).select(*columns)
