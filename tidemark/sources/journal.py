@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +27,8 @@ from ..spec import PARTITION_FORMATS, JournalSpec
 
 #: Where rows stand within their timestamp: the commit and the place in it.
 HIDDEN = ("_commit", "_row")
+#: Batches of one commit are numbered below this.
+BATCHES = 1_000_000
 _EPOCH = datetime(1970, 1, 1)
 
 
@@ -88,9 +90,10 @@ class Manifest:
     generations: dict[str, int]  # how often a partition was replaced
     last: int | None = None  # the last timestamp, as microseconds or the column's own number
     rows: int = 0
+    streams: dict[str, int] = field(default_factory=dict)  # the last batch of each stream, by its checkpoint
 
     def text(self) -> str:
-        return json.dumps({"version": self.version, "files": self.files, "generations": self.generations, "last": self.last, "rows": self.rows})
+        return json.dumps({"version": self.version, "files": self.files, "generations": self.generations, "last": self.last, "rows": self.rows, "streams": self.streams})
 
 
 def partition_of(ts: Column, kind: T.DataType, unit: str) -> Column:
@@ -153,7 +156,7 @@ class Journal:
         if not version:
             return Manifest(0, {}, {})
         d = json.loads(self.store.read(f"_log/{version}.json"))
-        return Manifest(d["version"], {k: tuple(v) for k, v in d["files"].items()}, d["generations"], d["last"], d["rows"])
+        return Manifest(d["version"], {k: tuple(v) for k, v in d["files"].items()}, d["generations"], d["last"], d["rows"], d["streams"])
 
     def read(self, version: int | None = None) -> Query:
         """A query over the rows of the newest version, or of an older one; later commits don't change it."""
@@ -213,14 +216,15 @@ class Journal:
     def overwrite_partition(self, partition: str, df: DataFrame) -> int:
         """Replaces one partition; readers of older versions keep the old one."""
         m = self.manifest()
-        by, _, last, n = self._stage(df, m.version + 1)
+        by, _, last, n = self._stage(df, (m.version + 1) * BATCHES)
         if set(by) - {partition}:
             raise QueryError(f"rows of partitions {sorted(set(by) - {partition})} can't replace {partition}")
         gone = m.files.get(partition, ())
         lost = self.spark.read.schema(self.schema).parquet(*[f"{self.path}/{f}" for f in gone]).count() if gone else 0
         files = {k: v for k, v in m.files.items() if k != partition} | ({partition: tuple(by[partition])} if by else {})
         newest = m.last if last is None else last if m.last is None else max(m.last, last)
-        self._publish(Manifest(m.version + 1, files, m.generations | {partition: m.generations.get(partition, 0) + 1}, newest, m.rows - lost + n))
+        generations = m.generations | {partition: m.generations.get(partition, 0) + 1}
+        self._publish(replace(m, version=m.version + 1, files=files, generations=generations, last=newest, rows=m.rows - lost + n))
         return m.version + 1
 
     def compact(self, partition: str, rewrite: Callable[[DataFrame], DataFrame] = lambda df: df) -> int:
@@ -232,7 +236,7 @@ class Journal:
 
     def truncate(self) -> int:
         m = self.manifest()
-        self._publish(Manifest(m.version + 1, {}, m.generations, None, 0))
+        self._publish(replace(m, version=m.version + 1, files={}, last=None, rows=0))
         return m.version + 1
 
 
@@ -245,7 +249,7 @@ class Writer:
 
     def append(self, df: DataFrame) -> None:
         """A batch may not begin before the last row so far; rows of one batch are put in order."""
-        by, first, last, n = self.journal._stage(df, (self.base.version + 1) * 1000 + len(self.staged))
+        by, first, last, n = self.journal._stage(df, (self.base.version + 1) * BATCHES + len(self.staged))
         folder = next((f.split("/p=")[0] for fs in by.values() for f in fs), None)
         if first is not None and self.last is not None and first < self.last:
             self.journal.store.delete(folder)
@@ -255,9 +259,11 @@ class Writer:
             self.files.setdefault(p, []).extend(fs)
         self.last, self.rows = self.last if last is None else last, self.rows + n
 
-    def commit(self) -> int:
+    def commit(self, stream: tuple[str, int] | None = None) -> int:
+        """Publishes the staged batches; ``stream`` notes the batch of a stream that they are."""
         version = self.base.version + 1
-        self.journal._publish(Manifest(version, {k: tuple(v) for k, v in self.files.items()}, self.base.generations, self.last, self.rows))
+        streams = self.base.streams | dict([stream] if stream else [])
+        self.journal._publish(replace(self.base, version=version, files={k: tuple(v) for k, v in self.files.items()}, last=self.last, rows=self.rows, streams=streams))
         self.staged, self.base = [], self.journal.manifest(version)
         return version
 

@@ -28,12 +28,12 @@ def latest_by_stream(stream: DataFrame, spec: JournalSpec, key: str, lateness: s
 
 
 def append_stream(stream: DataFrame, journal, checkpoint: str):
-    """Appends each micro-batch to a journal. A batch that was committed before a failure is not appended again."""
+    """Appends each micro-batch to a journal. The manifest names the last batch of each checkpoint, so one that was committed before a failure is not appended again."""
 
     def each(batch: DataFrame, number: int) -> None:
-        mark = f"_streams/{number}"
-        if not journal.store.fs.exists(journal.store.at(mark)):
-            journal.append(batch)
-            journal.store.fs.mkdirs(journal.store.at(mark))
+        if journal.manifest().streams.get(checkpoint, -1) < number:
+            with journal.writer() as w:
+                w.append(batch)
+                w.commit(stream=(checkpoint, number))
 
     return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
