@@ -281,10 +281,14 @@ def _finished(stream) -> None:
         raise stream.exception()
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table may be one file, which a stream reads only by a pattern."""
+    return read_stream(spark, f"{sf_dir}/events.parque[t]", spark.read.parquet(f"{sf_dir}/events.parquet").schema)
+
+
 def stream_latest_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The running latest row of each user once the stream has caught up."""
-    path = f"{sf_dir}/events.parquet"
-    last = latest_by_stream(read_stream(spark, path, spark.read.parquet(path).schema), EVENTS, "user_id")
+    last = latest_by_stream(_event_stream(spark, sf_dir), EVENTS, "user_id")
     out, checkpoint = scratch_path(spark, "latest"), scratch_path(spark, "offsets")
     write = lambda batch, _: batch.write.mode("overwrite").parquet(out)
     _finished(last.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start())
@@ -293,10 +297,9 @@ def stream_latest_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream appended to a journal."""
-    path = f"{sf_dir}/events.parquet"
-    df = spark.read.parquet(path)
-    j = _new_journal(spark, EVENTS, df)
-    _finished(append_stream(read_stream(spark, path, df.schema), j, scratch_path(spark, "offsets")).trigger(availableNow=True).start())
+    stream = _event_stream(spark, sf_dir)
+    j = _new_journal(spark, EVENTS, stream)
+    _finished(append_stream(stream, j, scratch_path(spark, "offsets")).trigger(availableNow=True).start())
     return j.read().where(col("event_type") == "view").to_df(ordered=False)
 
 
