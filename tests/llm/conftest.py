@@ -11,3 +11,8 @@ def small(spark):
 @pytest.fixture(scope="session")
 def larger(spark):
     return lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+
+
+@pytest.fixture(scope="session")
+def large(spark):
+    return lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")

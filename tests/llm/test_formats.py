@@ -3,6 +3,7 @@ import re
 import duckdb
 import pytest
 from brute import frame
+from pyspark.sql import functions as F
 
 from tidemark.llm import licenses, preference
 from tidemark.llm.license_texts import TEXTS
@@ -90,7 +91,7 @@ def test_other_texts_are_no_licence(spark):
 
 def test_driver_and_executors_normalise_alike(spark):
     rows = list(enumerate(TEXTS.values()))
-    for (i, t), r in zip(rows, frame(spark, rows).select(licenses.canonical(frame(spark, rows)["text"]).alias("c")).collect()):
+    for (_, t), r in zip(rows, frame(spark, rows).select(licenses.canonical(F.col("text")).alias("c")).collect()):
         assert r.c == licenses.canonical_text(t)
 
 
