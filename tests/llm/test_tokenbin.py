@@ -39,7 +39,7 @@ def test_words_alone_encode_as_in_their_text(texts):
     library = Tokenizer.from_file(tokenbin.default_tokenizer())
     encoder = tokenbin.Encoder(open(tokenbin.default_tokenizer(), encoding="utf-8").read())
     for _ in range(2):
-        ids, n = encoder.encode(texts, 1)
+        ids, n = encoder.encode(pa.array(texts))
         want = [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
         assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 

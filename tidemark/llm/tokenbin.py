@@ -13,13 +13,15 @@ leaves one whole file. They go to the folder that all executors share, by Arrow'
 from __future__ import annotations
 
 import os
-import re
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -28,9 +30,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialize, new_path, pick, text_slices
 
 SEQ_LEN, ROWS, END = 2048, 32, 1
-CACHE, LONGEST_KEPT = 300_000, 64
-#: White space that no token of the vocabulary crosses: the tokenizer drops it, so words encode alone.
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Words that a worker remembers, and letters up to which it does; plain words that are encoded together; bytes of text.
+CACHE, LONGEST_KEPT, JOINED, STRETCH = 600_000, 64, 256, 8 << 20
 
 
 def default_tokenizer() -> str:
@@ -40,53 +41,107 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of whole texts, word by word; words are encoded once and kept in a bounded cache."""
+    """Ids of whole texts, word by word; words are encoded once and kept in a bounded cache.
 
-    def __init__(self, definition: str):
+    The tokenizer drops white space and no token crosses it, so words between ASCII white space encode alone.
+    If it ignores case, words are told apart in lower case, but for those that may hold a special token.
+    New words of letters, or of letters and one mark, are encoded many at once and told apart by the tokens that end words.
+    """
+
+    def __init__(self, definition: str, end: int = END):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size(True) <= 1 << 16 else np.uint32
+        self.tokenizer, self.end = Tokenizer.from_str(definition), end
+        self.dtype = np.uint16 if max(self.tokenizer.get_vocab_size(True), end + 1) <= 1 << 16 else np.uint32
+        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = os.path.commonprefix(special)
+        caseless = self.mark.upper() == self.mark.lower() and (self.mark or not special)
+        self.folds = bool(caseless) and ids(string.ascii_uppercase) == ids(string.ascii_lowercase)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(True), bool)
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
+        """Word 0 is the end of a text."""
         self.known: dict[str, int] = {}
-        self.flat, self.off = np.zeros(0, self.dtype), np.zeros(1, np.int64)
-
-    def encode(self, texts: list[str | None], end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of all texts, each closed by ``end``, and how many each has."""
-        split = [_WORD.findall(t) if t else [] for t in texts]
+        self.flat, self.off = np.array([self.end], self.dtype), np.array([0, 1], np.int32)
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of words, each by itself, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), self.dtype), np.fromiter(map(len, ids), np.int32, len(ids))
+
+    def _plain_ids(self, words: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that hold no white space and in which ``ends`` tokens end a word."""
+        groups = range(0, len(words), JOINED)
+        flat, n = [], []
+        for i, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(words[i : i + JOINED]) for i in groups], add_special_tokens=False)):
+            ids, want = np.array(e.ids, self.dtype), np.cumsum(ends[i : i + JOINED])
+            at = np.flatnonzero(self.ends[ids]) + 1
+            if len(at) == want[-1]:
+                each = np.diff(at[want - 1], prepend=0)
+            else:
+                ids, each = self._ids(words[i : i + JOINED])
+            flat.append(ids)
+            n.append(each)
+        return np.concatenate([np.zeros(0, self.dtype), *flat]), np.concatenate([np.zeros(0, np.int32), *n])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of all texts, each closed by the end id, and how many each has."""
+        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        n_words, flat = split.value_lengths().to_numpy(), split.flatten()
+        if self.folds:
+            lower = pc.ascii_lower(flat)
+            flat = pc.if_else(pc.match_substring(flat, self.mark), flat, lower) if self.mark else lower
+        coded = flat.dictionary_encode()
         if len(self.known) > CACHE:
             self.clear()
-        new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in self.known]
-        kept = len(self.known), len(self.flat), len(self.off)
-        if new:
-            new.sort(key=lambda w: len(w) > LONGEST_KEPT)  # those that aren't kept come last
-            ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), self.dtype)])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum([len(x) for x in ids])])
-        n_words = np.array([len(ws) for ws in split], np.int64)
-        at = np.fromiter((self.known[w] for ws in split for w in ws), np.int64, int(n_words.sum()))
-        size = self.off[at + 1] - self.off[at]
-        before = np.concatenate([[0], np.cumsum(size)])
-        word_ends = np.concatenate([[0], np.cumsum(n_words)])
-        n = before[word_ends[1:]] - before[word_ends[:-1]] + 1
-        out = np.full(int(n.sum()), end, self.dtype)
-        ids = self.flat[np.repeat(self.off[at] - before[:-1], size) + np.arange(before[-1])]
-        inside = np.ones(len(out), bool)
-        inside[np.cumsum(n) - 1] = False
-        out[inside] = ids
-        long = [w for w in reversed(new) if len(w) > LONGEST_KEPT]
-        if long:
-            for w in long:
-                del self.known[w]
-            first = kept[0] + len(new) - len(long)
-            self.flat, self.off = self.flat[: self.off[first]], self.off[: first + 1]
+        words, get = coded.dictionary.to_pylist(), self.known.get
+        number = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        new = np.flatnonzero(number < 0)
+        first = long = len(self.off) - 1
+        if len(new):
+            fresh = coded.dictionary.take(pa.array(new))
+            is_long = np.asarray(pc.greater(pc.utf8_length(fresh), LONGEST_KEPT))
+            plain, closed = (np.asarray(pc.match_substring_regex(fresh, f"^[A-Za-z\u00e0-\u00f6\u00f8-\u00ff]+{x}$")) & ~is_long & self.ends.any() for x in ("", "[,.;:!?]"))
+            kind = np.where(is_long, 3, np.where(plain, 0, np.where(closed, 1, 2)))
+            order = np.argsort(kind, kind="stable")
+            new, kind = new[order], kind[order]  # those that aren't kept come last
+            fresh, joint = [words[i] for i in new.tolist()], int((kind < 2).sum())
+            parts = self._plain_ids(fresh[:joint], kind[:joint] + 1), self._ids(fresh[joint:])
+            long = first + int((kind < 3).sum())
+            number[new] = np.arange(first, first + len(new))
+            self.known.update(zip(fresh[: long - first], range(first, long)))
+            self.flat = np.concatenate([self.flat, *(ids for ids, _ in parts)])
+            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(np.concatenate([n for _, n in parts]), dtype=np.int32)])
+        closes = np.cumsum(n_words) + np.arange(len(n_words))
+        at = np.zeros(int(n_words.sum()) + len(n_words), np.int32)
+        inside = np.ones(len(at), bool)
+        inside[closes] = False
+        if len(words):
+            at[inside] = number[coded.indices.to_numpy()]
+        out = pa.ListArray.from_arrays(pa.array(self.off), pa.array(self.flat)).take(pa.array(at)).flatten().to_numpy()
+        n = np.diff(np.cumsum((self.off[1:] - self.off[:-1])[at], dtype=np.int64)[closes], prepend=0)
+        self.flat, self.off = self.flat[: self.off[long]], self.off[: long + 1]
         return out, n
 
 
+_encoders: dict[tuple[int, int], Encoder] = {}
+
+
+def _encoder(definition: str, end: int) -> Encoder:
+    """A worker's own, which keeps its words from task to task."""
+    key = zlib.crc32(definition.encode()), end
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(definition, end)
+    return _encoders[key]
+
+
 def _schema(dtype) -> pa.Schema:
     return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), SEQ_LEN)), ("mask", pa.list_(pa.bool_(), SEQ_LEN))])
 
@@ -145,11 +200,11 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end: in
                 continue
             if writer is None:
                 fs.create_dir(at, recursive=True)
-                encoder = Encoder(definition.value)
+                encoder = _encoder(definition.value, end)
                 sinks = [fs.open_output_stream(tmp + x) for x in (".arrow", ".docs")]
                 writer, names = _Writer(sinks[0], encoder.dtype), pa.ipc.new_stream(sinks[1], _DOCS)
-            for a, b in text_slices(batch.column(1)):
-                ids, n = encoder.encode(batch.column(1).slice(a, b - a).to_pylist(), end)
+            for a, b in text_slices(batch.column(1), STRETCH):
+                ids, n = encoder.encode(batch.column(1).slice(a, b - a))
                 starts = n_ids + np.cumsum(n) - n
                 names.write_batch(pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(starts), pa.array(n)], schema=_DOCS))
                 writer.add(ids)
