@@ -199,7 +199,7 @@ def shingles(hashes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray
     last = np.repeat(starts[1:], np.diff(starts))  # end of each word's text
     at = np.arange(n)
     h = mix(hashes + GOLDEN)
-    for t in range(1, k):
+    for t in range(1, min(k, n)):
         in_text = at + t < last
         nxt = np.zeros(n, np.uint64)
         nxt[: n - t] = hashes[t:]
