@@ -5,10 +5,11 @@ transform. TABLES tables use pairs of hashes; a vector is filed under its own bu
 also under the next PROBES best ones (multiprobe), and meets the vectors whose own bucket one of them is.
 
 Equal vectors of one label form a class first, with its size and smallest id, so a vector that occurs a
-million times is one row. Buckets are split into blocks, and a group is a pair of blocks: no task holds
-more than two. A group computes cosines of its pairs in double precision, counts each pair once (in the
-first table and bucket where it meets), and emits for each vector its number of links, and links only as
-far as they join components. No pair is dropped or written twice.
+million times is one row. Buckets are split into blocks, and a group is a pair of one bucket's blocks, or a
+whole bucket of one block. A task takes some thousand rows of groups at once, most of which are small. It
+computes cosines of their pairs in double precision, counts each pair once (in the first table and bucket
+where it meets), and emits for each vector its number of links, and links only as far as they join
+components. No pair is dropped or written twice.
 
 Vectors that are null, empty, zero or hold null or non-finite components, or whose label is null, link
 with nothing, and so do vectors of different lengths. A null vec_id takes no part. Extra columns aren't
@@ -29,6 +30,8 @@ from .components import components
 from .vectors import matrix, one_length, unit, usable
 
 TABLES, PROBES, BLOCK = 10, 5, 1024
+#: Rows of buckets that a task looks at together, as they come on average; rows up to which a bucket's pairs are listed one by one; pairs at a time.
+TOGETHER, SMALL, PAIRS = 4096, 48, 1 << 14
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -51,7 +54,7 @@ def rotated(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def buckets(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
-    """int64 [row, table, 1 + probes]: the own bucket first, then the next best pairs of axes, all different."""
+    """Numbers of 31 bits [row, table, 1 + probes]: the own bucket first, then the next best pairs of axes, all different."""
     out = np.empty((len(x), tables, 1 + probes), np.int64)
     rows = np.arange(len(x))[:, None]
     for t in range(tables):
@@ -65,7 +68,7 @@ def buckets(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.nda
         (a, loss_a), (b, loss_b) = best
         loss = (loss_a**2)[:, :, None] + (loss_b**2)[:, None, :]
         order = np.argsort(loss.reshape(len(x), -1), axis=1, kind="stable")[:, : 1 + probes]
-        both = (a[:, :, None] * 1_000_003 + b[:, None, :]).reshape(len(x), -1)[rows, order]
+        both = ((a[:, :, None] * (2 << max(0, x.shape[1] - 1).bit_length()) + b[:, None, :]) % 2_147_483_647).reshape(len(x), -1)[rows, order]
         out[:, t, : both.shape[1]] = both
         out[:, t, both.shape[1] :] = both[:, :1]  # a short vector has fewer
     return out
@@ -78,21 +81,60 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for d in np.unique(dims):
             part = batch.filter(pa.array(dims == d))
             keys = buckets(unit(matrix(part.column(2))))
-            flat = keys.reshape(len(keys), -1)
+            flat = keys.reshape(len(keys), -1).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
             yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["rep", "keys"])
 
 
+def _small_pairs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows p < q within each stretch of rows, PAIRS or a little more at a time."""
+    sizes = ends - starts
+    row = np.arange(len(starts)).repeat(sizes)
+    at = np.arange(len(row)) - (np.cumsum(sizes) - sizes).repeat(sizes) + starts[row]
+    rest = ends[row] - at - 1
+    total = np.cumsum(rest)
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
+        n = rest[a:b]
+        u = at[a:b].repeat(n)
+        yield u, u + 1 + np.arange(len(u)) - (np.cumsum(n) - n).repeat(n)
+        a = b
+
+
+def _large_pairs(x: np.ndarray, rows: np.ndarray, side: np.ndarray, apart: bool, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one bucket's rows, or of its two blocks if ``apart``, that a matrix product finds near."""
+    left, right = (rows[side[rows] == 0], rows[side[rows] == 1]) if apart else (rows, rows)
+    for a in range(0, len(left), 128):
+        near = x[left[a : a + 128]] @ x[right].T >= least - 1e-9
+        if not apart:
+            near &= left[a : a + 128, None] < right[None, :]
+        p, q = np.nonzero(near)
+        for c in range(0, len(p), PAIRS):
+            yield left[a + p[c : c + PAIRS]], right[q[c : c + PAIRS]]
+
+
 def _linking(least: float):
     def run(key, table):
-        """Each vector's number of links counted here, and links that join components of this group."""
-        i, j, t, bucket = key[4].as_py(), key[5].as_py(), key[2].as_py(), key[3].as_py()
-        x, reps, n = unit(matrix(table.column("embedding"))), table.column("rep").to_numpy(), table.column("n").to_numpy()
-        keys = np.asarray(table.column("keys").combine_chunks().flatten()).reshape(len(x), TABLES, -1)
-        own, side = keys[:, t, 0] == bucket, table.column("side").to_numpy()
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if i != j else (np.arange(len(x)),) * 2
-        links = np.zeros(len(x), np.int64)
-        parent = np.arange(len(x))
+        """Each vector's number of links counted here, and links that join components of what this task sees.
+
+        The table holds many buckets, each whole or as a pair of its blocks.
+        """
+        label = table.column("label").combine_chunks().dictionary_encode().indices
+        place = [label.to_numpy(), *(table.column(c).to_numpy() for c in ("t", "bucket", "i", "j"))]
+        order = np.lexsort(place[::-1])
+        table, place = table.take(pa.array(order)), [c[order] for c in place]
+        _, t, bucket, i, j = place
+        new = np.ones(len(t) + 1, bool)
+        new[1:-1] = np.any([c[1:] != c[:-1] for c in place], axis=0)
+        bounds = np.flatnonzero(new)
+        starts, ends = bounds[:-1], bounds[1:]
+        x, n, side = unit(matrix(table.column("embedding"))), table.column("n").to_numpy(), table.column("side").to_numpy()
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(x), TABLES, -1)
+        own = keys[np.arange(len(x)), t, 0] == bucket
+        reps, who = np.unique(table.column("rep").to_numpy(), return_inverse=True)
+        links = np.zeros(len(reps), np.int64)
+        parent = list(range(len(reps)))
         joined = []
 
         def find(c: int) -> int:
@@ -101,35 +143,36 @@ def _linking(least: float):
                 c = parent[c]
             return c
 
-        for a in range(0, len(left), 128):
-            rows = left[a : a + 128]
-            near = x[rows] @ x[right].T >= least - 1e-9
-            near &= own[rows][:, None] | own[right][None, :]
-            if i == j:
-                near &= rows[:, None] < right[None, :]
-            p, q = np.nonzero(near)
-            for c in range(0, len(p), 1 << 14):
-                u, v = rows[p[c : c + (1 << 14)]], right[q[c : c + (1 << 14)]]
-                ok = (x[u] * x[v]).sum(axis=1) >= least
-                u, v = u[ok], v[ok]
-                meets_u = (keys[u][:, :, :1] == keys[v]).any(axis=2)  # u's own bucket is one of v's
-                meets_v = (keys[v][:, :, :1] == keys[u]).any(axis=2)
-                first = (meets_u | meets_v).argmax(axis=1)
-                r = np.arange(len(u))
-                far = np.iinfo(np.int64).max
-                where = np.minimum(np.where(meets_u[r, first], keys[u, first, 0], far), np.where(meets_v[r, first], keys[v, first, 0], far))
-                ok = (first == t) & (where == bucket)
-                u, v = u[ok], v[ok]
-                np.add.at(links, u, n[v])
-                np.add.at(links, v, n[u])
-                for e, f in zip(u.tolist(), v.tolist()):
-                    e_, f_ = find(e), find(f)
-                    if e_ != f_:
-                        parent[max(e_, f_)] = min(e_, f_)
-                        joined.append((e, f))
+        def settle(u: np.ndarray, v: np.ndarray) -> None:
+            ok = own[u] | own[v]
+            u, v = u[ok], v[ok]
+            ok = np.einsum("ij,ij->i", x[u], x[v]) >= least
+            u, v = u[ok], v[ok]
+            if not len(u):
+                return
+            meets_u = (keys[u][:, :, :1] == keys[v]).any(axis=2)  # u's own bucket is one of v's
+            meets_v = (keys[v][:, :, :1] == keys[u]).any(axis=2)
+            first = (meets_u | meets_v).argmax(axis=1)
+            r, far = np.arange(len(u)), np.int64(1 << 62)
+            where = np.minimum(np.where(meets_u[r, first], keys[u, first, 0], far), np.where(meets_v[r, first], keys[v, first, 0], far))
+            ok = (first == t[u]) & (where == bucket[u])
+            u, v = u[ok], v[ok]
+            np.add.at(links, who[u], n[v])
+            np.add.at(links, who[v], n[u])
+            for e, f in zip(who[u].tolist(), who[v].tolist()):
+                e_, f_ = find(e), find(f)
+                if e_ != f_:
+                    parent[max(e_, f_)] = min(e_, f_)
+                    joined.append((e, f))
+
+        small = (ends - starts <= SMALL) & (i[starts] == j[starts])
+        for u, v in _small_pairs(starts[small], ends[small]):
+            settle(u, v)
+        for a, b in zip(starts[~small].tolist(), ends[~small].tolist()):
+            for u, v in _large_pairs(x, np.arange(a, b), side, i[a] != j[a], least):
+                settle(u, v)
         some = np.flatnonzero(links)
-        a = np.array([e for e, _ in joined], np.int64)
-        b = np.array([f for _, f in joined], np.int64)
+        a, b = (np.array([p[k] for p in joined], np.int64) for k in (0, 1))
         return pa.table({
             "a": pa.array(np.concatenate([reps[some], reps[a]])),
             "b": pa.array(np.concatenate([np.zeros(len(some), np.int64), reps[b]]), mask=np.arange(len(some) + len(b)) < len(some)),
@@ -150,7 +193,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, block: int = BLOCK)
     cols = pick(vectors, "vec_id", "embedding", "label").withColumn("vec_id", F.col("vec_id").cast("long"))
     fine = one_length(cols.where(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()))
     classes = materialize(fine.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    hashed = materialize(classes.select("rep", "dim", "embedding").mapInArrow(_hashed, "rep long, keys array<bigint>"), "hashed")
+    hashed = materialize(classes.select("rep", "dim", "embedding").mapInArrow(_hashed, "rep long, keys array<int>"), "hashed")
     labels = classes.select("rep", "label", "dim")
     width = 1 + PROBES
     every = F.posexplode("keys").alias("at", "bucket")
@@ -162,8 +205,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, block: int = BLOCK)
     member = filed.join(busy, keys).withColumn("mine", F.pmod(F.xxhash64("rep"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     group = [*keys, "i", "j"]
     member = member.select(*keys, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rep")
+    member_table = materialize(member, "members")
+    parts = max(1, member_table.count() // TOGETHER)
+    member = member_table.withColumn("part", F.pmod(F.xxhash64(*group), F.lit(parts)).cast("int"))
     member = member.join(classes.select("rep", "n", "embedding"), "rep").join(hashed, "rep")
-    found = materialize(member.groupBy(*group).applyInArrow(_linking(least), "a long, b long, links long"), "found")
+    found = materialize(member.groupBy("dim", "part").applyInArrow(_linking(least), "a long, b long, links long"), "found")
 
     comp = components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
@@ -173,5 +219,5 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, block: int = BLOCK)
     alone = cols.where(~(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
     out = materialize(out, "duplicates")
-    drop_tables(classes, hashed, found)
+    drop_tables(classes, hashed, member_table, found)
     return out
