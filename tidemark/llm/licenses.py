@@ -1,7 +1,8 @@
 """Licence scans by canonical digest: whole texts are normalised, hashed and joined to known digests.
 
-Normalising drops what differs between copies of one licence: letter case, lines of copyright, the
-phrase "all rights reserved", punctuation, white space and spellings that mean the same.
+Normalising drops what differs between copies of one licence: letter case, notices of copyright (of one
+line each; a sentence that a line break left with "copyright" at the front stays), the phrase "all rights
+reserved", punctuation, white space and spellings that mean the same.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ from .common import pick
 from .license_texts import TEXTS
 
 _MARKS = "“”„‘’‚«»–—‐‑−…©®™•· "
-#: A line that begins, after comment marks, with a notice of copyright.
-_NOTICE = r"(?:^|\n)[ \t\r#/*;!%>\-]*(?:copyright[ \t]|copyright:|\(c\)|©)[^\n]*"
+#: What the SQL of the round takes for a notice: any line that begins, after comment marks, with the word.
+_SQL_NOTICE = r"(?:^|\n)[ \t\r#/*;!%>\-]*(?:copyright[ \t]|copyright:|\(c\)|©)[^\n]*"
+#: Words that follow "copyright" or "(c)" where a line of prose happens to begin with it.
+_PROSE = r"""(?!["'`“”‘’(]*(?:notices?|holders?|owners?|ownership|laws?|licen[cs]\w*|statements?|permissions?|interests?|disclaimers?|doctrines?|treat(?:y|ies)|acts?|protections?|infringements?|claims?|rights?|status|conditions?|terms|resulting|the(?:[ \t]+(?:software|library|program|work|licenses)|[ \t\r]*(?=\n))|and (?:related|similar|licen[cs]\w*|other|this|the|any)|or|of|in|on|to|for|if|is|are|as|that|which|who|under|with|may|does|shall|will|can|has|you|your|representations)\b)"""
+#: A line that begins, after comment marks, with a notice of copyright: with a sign, a year or a placeholder, or a name and no prose.
+_NOTICE = rf"(?:^|\n)[ \t\r#/*;!%>\-]*(?:copyright[ \t]*(?:[:©<\[{{\d]|\(c\))|copyright[ \t]+{_PROSE}(?=[^ \t\r\n])|\(c\)[ \t]*{_PROSE}(?=[^ \t\r\n])|©)[^\n]*"
 _RESERVED = r"all rights reserved\.?"
 _OTHER = r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 #: Both sides are whole words between spaces.
@@ -79,7 +84,7 @@ def _sql(s: str) -> str:
 
 def oracle_sql() -> str:
     t = f"translate(text, {_sql(string.ascii_uppercase)}, {_sql(string.ascii_lowercase)})"
-    t = f"regexp_replace({t}, {_sql(_NOTICE)}, chr(10), 'g')"
+    t = f"regexp_replace({t}, {_sql(_SQL_NOTICE)}, chr(10), 'g')"
     t = f"regexp_replace({t}, {_sql(_RESERVED)}, ' ', 'g')"
     t = f"translate({t}, {_sql(_MARKS)}, {_sql(' ' * len(_MARKS))})"
     t = f"' ' || trim(regexp_replace({t}, {_sql(_OTHER)}, ' ', 'g'), ' ') || ' '"
