@@ -23,3 +23,17 @@ TEXTS = {
     "notice-CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "notice-CC-BY-4.0": "Licensed under CC BY 4.0.",
 }
+
+#: More forms of them, by (licence, form). The SQL of op2_license_scan knows TEXTS alone.
+MORE_TEXTS = {
+    ("MIT", "The"): "The MIT License\n\n" + _MIT,
+    ("MIT", "The, short"): "The MIT License (MIT)\n\n" + _MIT,
+    ("MIT", "short"): "MIT License (MIT)\n\n" + _MIT,
+    ("BSD-2-Clause", "The"): "The BSD 2-Clause License\n\n" + _BSD2 + _BSD,
+    ("BSD-3-Clause", "The"): "The BSD 3-Clause License\n\n" + _BSD2 + _BSD3 + _BSD,
+    ("ISC", "The"): "The " + TEXTS["ISC"],
+    ("ISC", "no title"): TEXTS["ISC"].removeprefix("ISC License\n\n"),
+    ("0BSD", "title"): "BSD Zero Clause License\n\n" + TEXTS["0BSD"],
+    ("Zlib", "title"): "zlib License\n\n" + TEXTS["Zlib"],
+    ("notice-Apache-2.0", ""): "Licensed under the Apache License, Version 2.0.",
+}

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick
-from .license_texts import TEXTS
+from .license_digests import DIGESTS
+from .license_texts import MORE_TEXTS, TEXTS
 
 _MARKS = "“”„‘’‚«»–—‐‑−…©®™•· "
 #: What the SQL of the round takes for a notice: any line that begins, after comment marks, with the word.
@@ -59,11 +60,15 @@ def digest_text(text: str) -> str:
 
 
 def known_licenses(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
-    """(digest, license_id) of known licence texts; of texts of one digest the first id by name."""
+    """(digest, license_id) of known licence texts; of texts of one digest the first id by name. Without ``texts`` those of TEXTS, MORE_TEXTS and DIGESTS."""
     by: dict[str, str] = {}
     for name, text in sorted((TEXTS if texts is None else texts).items()):
         if canonical_text(text):
             by.setdefault(digest_text(text), name)
+    if texts is None:
+        for (name, _), text in MORE_TEXTS.items():
+            by.setdefault(digest_text(text), name)
+        by = DIGESTS | by
     return spark.createDataFrame(sorted(by.items()), "digest string, license_id string")
 
 
