@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -31,7 +32,7 @@ def test_the_forward_sum_is_over_all_segmentations(fitted):
         for k in range(len(fitted.languages)):
             total = sum(math.prod(fitted.probs[p, k] for p in path) for path in paths(SPACE + word, fitted.pieces.number, fitted.pieces.size - 1))
             assert got[k] == pytest.approx(math.log(total), rel=1e-9)
-        assert fitted._long(SPACE + word) == pytest.approx(got, rel=1e-9)
+        assert fitted._long(SPACE + word)[-1] == pytest.approx(got, rel=1e-9)
 
 
 def test_a_probability_sums_to_one(fitted):
@@ -41,7 +42,7 @@ def test_a_probability_sums_to_one(fitted):
 def test_held_out_texts_are_identified(larger):
     docs = larger("documents")
     got = langid.identify(docs).join(docs.select("doc_id", "lang", "text"), "doc_id").where("held_out and lang is not null").toPandas()
-    lettered = got[got.text.map(lambda t: len(langid.letters(t)) >= 5)]
+    lettered = got[got.text.map(lambda t: len(re.findall(r"[^\W\d_]+", t)) >= 5)]
     assert len(lettered) > 100 and (lettered.lang_pred == lettered.lang).mean() > 0.95
     assert got.score.between(0, 1).all()
 

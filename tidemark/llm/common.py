@@ -16,8 +16,12 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python: bounds a worker's memory when texts are long.
 ARROW_ROWS = 1000
+#: Bytes of an Arrow batch handed to Python, where Spark bounds them.
+ARROW_BYTES = 4 << 20
 #: Bytes of text that a kernel looks at together.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
+#: Bytes whose words are hashed together: bounds the tables of powers.
+HASH_BYTES = 1 << 17
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,7 +43,13 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return at_path(spark.read.schema(df.schema).parquet(path), path)
+
+
+def at_path(df: DataFrame, path: str) -> DataFrame:
+    """``df``, which reads a table of ours, so that drop_tables() finds it."""
+    df._tidemark_table = path
+    return df
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -51,16 +61,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def drop_tables(*frames: DataFrame) -> None:
     """Deletes tables of materialize() that no later step reads."""
     for df in frames:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path := getattr(df, "_tidemark_table", None):
             drop_path(df.sparkSession, path)
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the rows of an Arrow batch, if the session has more."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Lowers the rows and bytes of an Arrow batch, if the session allows more. The settings stay, as results are evaluated later."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -174,11 +184,11 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def hash_words(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, A-Z as a-z. Works through stretches of CHUNK_BYTES, a longer word whole."""
+    """64-bit hash of each word, A-Z as a-z. Works through stretches of HASH_BYTES, a longer word whole."""
     out = np.empty(len(begins), np.uint64)
     i = 0
     while i < len(begins):
-        j = max(i + 1, int(np.searchsorted(ends, begins[i] + CHUNK_BYTES, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, begins[i] + HASH_BYTES, "right")))
         a, b = begins[i], ends[j - 1]
         sums = np.zeros(b - a + 1, np.uint64)
         np.cumsum(_TABLE[_LOWER[data[a:b]]] * _power("up", b - a), out=sums[1:])
@@ -218,3 +228,80 @@ def shingles(hashes: np.ndarray, starts: np.ndarray, k: int) -> tuple[np.ndarray
     new[begin[:-1][np.diff(begin) > 0]] = True
     counts = np.concatenate([[0], np.cumsum(new)])
     return h[new], counts[begin]
+
+
+class Memo:
+    """Numbers of strings in the order in which they first came; Arrow looks them up, so none becomes a Python object."""
+
+    def __init__(self) -> None:
+        self.forget(0)
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def over(self, limit: int) -> bool:
+        """Whether it holds more strings, or many more bytes, than it should."""
+        return len(self) > limit or self.values.nbytes > 64 * limit
+
+    def forget(self, n: int) -> None:
+        """All but the first n."""
+        self.values = self.values[:n] if n else pa.array([], pa.string())
+
+    def numbers(self, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """The number of each of these different strings, and those that are new, which get the next numbers."""
+        number = pc.index_in(words, value_set=self.values).fill_null(-1).to_numpy().copy()
+        new = np.flatnonzero(number < 0)
+        number[new] = np.arange(len(self), len(self) + len(new))
+        fresh = words.take(pa.array(new))
+        if len(new):
+            self.values = pa.concat_arrays([self.values, fresh])
+        return number, fresh
+
+
+class Coded:
+    """Ids of strings, each worked out once. ``work`` gives flat ids of new strings and how many each has.
+
+    Above ``limit`` strings all but the ``first`` ones are forgotten, and so are, after each chunk, those of more than ``longest`` bytes.
+    """
+
+    def __init__(self, work, dtype, limit: int, longest: int, first: tuple[tuple[str, tuple[int, ...]], ...] = ()):
+        self.work, self.limit, self.longest, self.kept = work, limit, longest, len(first)
+        self.memo = Memo()
+        self.memo.values = pa.array([s for s, _ in first], pa.string())
+        self.flat = np.array([i for _, ids in first for i in ids], dtype)
+        self.off = np.cumsum([0, *(len(ids) for _, ids in first)]).astype(np.int32)
+
+    def _cut(self, n: int) -> None:
+        self.memo.forget(n)
+        self.flat, self.off = self.flat[: self.off[n]].copy(), self.off[: n + 1].copy()
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The row of each of these different strings."""
+        if self.memo.over(self.limit):
+            self._cut(self.kept)
+        size = pc.binary_length(words).to_numpy(zero_copy_only=False)
+        order = np.argsort(size > self.longest, kind="stable")  # long strings get the last numbers
+        number, fresh = self.memo.numbers(words.take(pa.array(order)))
+        self.stay = len(self.memo) - int((size > self.longest).sum())
+        if len(fresh):
+            ids, n = self.work(fresh)
+            self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
+            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(n, dtype=np.int32)])
+        out = np.empty(len(number), np.int32)
+        out[order] = number
+        return out
+
+    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of rows one after another, and how many each has; then long strings are forgotten."""
+        out = pa.ListArray.from_arrays(pa.array(self.off), pa.array(self.flat)).take(pa.array(rows)).flatten().to_numpy()
+        n = (self.off[1:] - self.off[:-1])[rows]
+        if self.stay < len(self.memo):
+            self._cut(self.stay)
+        return out, n
+
+
+def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``counts`` values."""
+    total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+    end = np.cumsum(counts)
+    return total[end] - total[end - counts]

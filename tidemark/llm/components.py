@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_tables, materialize
+from .common import at_path, drop_tables, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -29,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             longer = materialize(up.join(nxt, "up", "left").select("node", F.coalesce("further", "up").alias("up"), F.col("further").isNotNull().alias("moved")), "up")
             moved = longer.where("moved").limit(1).count()
             drop_tables(up)
-            up = longer.select("node", "up")
+            up = at_path(longer.select("node", "up"), longer._tidemark_table)
             if not moved:
                 break
         ends = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))
@@ -44,6 +44,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         e, roots = left, new
     drop_tables(e)
     if roots is None:
-        return edges.sparkSession.createDataFrame([], "node long, component long")
+        kind = edges.schema[a].dataType.simpleString()
+        return edges.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
     own = roots.select(F.col("component").alias("node"), F.col("component")).distinct()
-    return roots.unionByName(own)
+    return at_path(roots.unionByName(own), roots._tidemark_table)

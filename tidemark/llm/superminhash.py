@@ -15,8 +15,12 @@ SLOTS = 128
 _HIGH = np.uint64(48)
 
 
-def signatures(elements: np.ndarray, starts: np.ndarray, slots: int = SLOTS) -> np.ndarray:
-    """uint16 signatures, a row for each set. Rows of empty sets are zero and mean nothing."""
+#: Elements that are drawn for together, which bounds the permutations held at a time.
+STRETCH = 1 << 14
+
+
+def _minima(elements: np.ndarray, starts: np.ndarray, slots: int) -> np.ndarray:
+    """Least values [set, slot] of these elements."""
     n_sets = len(starts) - 1
     sig = np.full(n_sets * slots, np.iinfo(np.uint64).max, np.uint64)
     owner = np.repeat(np.arange(n_sets), np.diff(starts))
@@ -41,6 +45,21 @@ def signatures(elements: np.ndarray, starts: np.ndarray, slots: int = SLOTS) ->
                 state, owner, perm = state[left], owner[left], perm[left]
                 rows = rows[: len(state)]
         open_set = still
-    out = (mix(sig) & np.uint64(0xFFFF)).astype(np.uint16).reshape(n_sets, slots)
+    return sig.reshape(n_sets, slots)
+
+
+def signatures(elements: np.ndarray, starts: np.ndarray, slots: int = SLOTS, stretch: int = STRETCH) -> np.ndarray:
+    """uint16 signatures, a row for each set. Rows of empty sets are zero and mean nothing.
+
+    A set's least values are the least of its parts' ones, so large sets are drawn for in stretches.
+    """
+    n_sets = len(starts) - 1
+    sig = np.full((n_sets, slots), np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(elements), stretch):
+        b = min(a + stretch, len(elements))
+        first, last = int(np.searchsorted(starts, a, "right")) - 1, int(np.searchsorted(starts, b, "left"))
+        part = _minima(elements[a:b], np.clip(starts[first : last + 1], a, b) - a, slots)
+        np.minimum(sig[first:last], part, out=sig[first:last])
+    out = (mix(sig) & np.uint64(0xFFFF)).astype(np.uint16)
     out[np.diff(starts) == 0] = 0
     return out

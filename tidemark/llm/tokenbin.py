@@ -12,8 +12,9 @@ leaves one whole file. They go to the folder that all executors share, by Arrow'
 
 from __future__ import annotations
 
+import json
 import os
-import string
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,11 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize, new_path, pick, text_slices
+from .common import Coded, bounded_batches, drop_path, materialize, new_path, pick, sums, text_slices
 
 SEQ_LEN, ROWS, END = 2048, 32, 1
-#: Words that a worker remembers, and letters up to which it does; plain words that are encoded together; bytes of text.
-CACHE, LONGEST_KEPT, JOINED, STRETCH = 600_000, 64, 256, 8 << 20
+#: Words that a worker remembers, and bytes up to which it does; plain words that are encoded together.
+CACHE, LONGEST_KEPT, JOINED = 250_000, 64, 256
 
 
 def default_tokenizer() -> str:
@@ -40,12 +41,28 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The one splitting into words, and the normalisation, of which Encoder knows that white space and ASCII punctuation part words.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+
+
+def _splits_words(d: dict) -> bool:
+    norm, pre = d.get("normalizer") or {}, d.get("pre_tokenizer") or {}
+    steps, splits = norm.get("normalizers", []), pre.get("pretokenizers", [])
+    return (
+        [x["type"] for x in steps] == _NORMAL and steps[1]["pattern"] == {"Regex": "\\s+"} and steps[1]["content"] == " " and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+        and splits[0]["pattern"] == {"Regex": _SPLIT} and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and not splits[1]["use_regex"] and not splits[1]["add_prefix_space"]
+        and d.get("post_processor") is None and all(re.fullmatch(r"<\|[a-z]+\|>", x["content"]) and not x["normalized"] for x in d["added_tokens"])
+    )
+
+
 class Encoder:
-    """Ids of whole texts, word by word; words are encoded once and kept in a bounded cache.
+    """Ids of whole texts.
 
-    The tokenizer drops white space and no token crosses it, so words between ASCII white space encode alone.
-    If it ignores case, words are told apart in lower case, but for those that may hold a special token.
-    New words of letters, or of letters and one mark, are encoded many at once and told apart by the tokens that end words.
+    If the definition splits as _SPLIT does, no token crosses white space, or stands on both sides of a letter that
+    punctuation (but ' < | >) up to white space follows: words are parted there, encoded once and remembered, in lower
+    case unless they may hold a special token. New words of Latin letters go to the library many at once, without the
+    normaliser and the splitting, which leave them as they are. With another definition whole texts go to the library.
     """
 
     def __init__(self, definition: str, end: int = END):
@@ -54,80 +71,67 @@ class Encoder:
 
         self.tokenizer, self.end = Tokenizer.from_str(definition), end
         self.dtype = np.uint16 if max(self.tokenizer.get_vocab_size(True), end + 1) <= 1 << 16 else np.uint32
-        ids = lambda x: self.tokenizer.encode(x, add_special_tokens=False).ids
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.mark = os.path.commonprefix(special)
-        caseless = self.mark.upper() == self.mark.lower() and (self.mark or not special)
-        self.folds = bool(caseless) and ids(string.ascii_uppercase) == ids(string.ascii_lowercase)
-        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(True), bool)
-        if suffix:
-            self.ends[[i for t, i in self.tokenizer.get_vocab(False).items() if t.endswith(suffix)]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        """Word 0 is the end of a text."""
-        self.known: dict[str, int] = {}
-        self.flat, self.off = np.array([self.end], self.dtype), np.array([0, 1], np.int32)
-
-    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of words, each by itself, and how many each has."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        return np.fromiter(chain.from_iterable(ids), self.dtype), np.fromiter(map(len, ids), np.int32, len(ids))
-
-    def _plain_ids(self, words: list[str], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for words that hold no white space and in which ``ends`` tokens end a word."""
-        groups = range(0, len(words), JOINED)
-        flat, n = [], []
-        for i, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(words[i : i + JOINED]) for i in groups], add_special_tokens=False)):
-            ids, want = np.array(e.ids, self.dtype), np.cumsum(ends[i : i + JOINED])
-            at = np.flatnonzero(self.ends[ids]) + 1
-            if len(at) == want[-1]:
-                each = np.diff(at[want - 1], prepend=0)
-            else:
-                ids, each = self._ids(words[i : i + JOINED])
-            flat.append(ids)
-            n.append(each)
-        return np.concatenate([np.zeros(0, self.dtype), *flat]), np.concatenate([np.zeros(0, np.int32), *n])
+        d = json.loads(definition)
+        suffix = d["model"].get("end_of_word_suffix")
+        self.words = d["model"]["type"] == "BPE" and bool(suffix) and _splits_words(d)
+        if self.words:
+            bare = d | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, d["pre_tokenizer"]["pretokenizers"][1]]}}
+            self.bare = Tokenizer.from_str(json.dumps(bare))
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(True), bool)
+            self.ends[[i for t, i in d["model"]["vocab"].items() if t.endswith(suffix)]] = True
+            self.kept = Coded(self._new, self.dtype, CACHE, LONGEST_KEPT, (("\n", (end,)),))  # no word is a line feed
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of texts, each by itself, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(ids), self.dtype), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _new(self, fresh: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of new words."""
+        is_plain = np.asarray(pc.match_substring_regex(fresh, r"^[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+$")) & np.asarray(pc.less_equal(pc.binary_length(fresh), LONGEST_KEPT))
+        plain, other = np.flatnonzero(is_plain), np.flatnonzero(~is_plain)
+        count, parts = np.zeros(len(fresh), np.int64), []
+        lower = pc.utf8_lower(fresh.take(pa.array(plain)))
+        for a in range(0, len(plain), JOINED * 64):
+            group = lower.slice(a, JOINED * 64)
+            off = pa.array(np.append(np.arange(0, len(group), JOINED), len(group)).astype(np.int32))
+            encoded = self.bare.encode_batch_fast(pc.binary_join(pa.ListArray.from_arrays(off, group), " ").to_pylist(), add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), self.dtype)
+            n = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+            which = plain[a : a + JOINED * 64]
+            if len(n) != len(which):
+                ids, n = self._ids(group.to_pylist())
+            count[which] = n
+            parts.append((which, ids))
+        ids, n = self._ids(fresh.take(pa.array(other)).to_pylist())
+        count[other] = n
+        parts.append((other, ids))
+        begin = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), self.dtype)
+        for which, ids in parts:
+            n = count[which]
+            out[begin[which].repeat(n) + np.arange(len(ids)) - (np.cumsum(n) - n).repeat(n)] = ids
+        return out, count
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, each closed by the end id, and how many each has."""
-        split = pc.ascii_split_whitespace(texts.fill_null(""))
+        texts = texts.fill_null("")
+        if not self.words:
+            ids, n = self._ids(texts.to_pylist())
+            return np.insert(ids, np.cumsum(n), self.end), n + 1
+        texts = pc.replace_substring_regex(texts, r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff])([!-&(-/:;=?@\[-`{}~]+)(\s|$)", r"\1 \2\3")
+        split = pc.ascii_split_whitespace(texts)
         n_words, flat = split.value_lengths().to_numpy(), split.flatten()
-        if self.folds:
-            lower = pc.ascii_lower(flat)
-            flat = pc.if_else(pc.match_substring(flat, self.mark), flat, lower) if self.mark else lower
+        flat = pc.if_else(pc.match_substring(flat, "<|"), flat, pc.ascii_lower(flat))
         coded = flat.dictionary_encode()
-        if len(self.known) > CACHE:
-            self.clear()
-        words, get = coded.dictionary.to_pylist(), self.known.get
-        number = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-        new = np.flatnonzero(number < 0)
-        first = long = len(self.off) - 1
-        if len(new):
-            fresh = coded.dictionary.take(pa.array(new))
-            is_long = np.asarray(pc.greater(pc.utf8_length(fresh), LONGEST_KEPT))
-            plain, closed = (np.asarray(pc.match_substring_regex(fresh, f"^[A-Za-z\u00e0-\u00f6\u00f8-\u00ff]+{x}$")) & ~is_long & self.ends.any() for x in ("", "[,.;:!?]"))
-            kind = np.where(is_long, 3, np.where(plain, 0, np.where(closed, 1, 2)))
-            order = np.argsort(kind, kind="stable")
-            new, kind = new[order], kind[order]  # those that aren't kept come last
-            fresh, joint = [words[i] for i in new.tolist()], int((kind < 2).sum())
-            parts = self._plain_ids(fresh[:joint], kind[:joint] + 1), self._ids(fresh[joint:])
-            long = first + int((kind < 3).sum())
-            number[new] = np.arange(first, first + len(new))
-            self.known.update(zip(fresh[: long - first], range(first, long)))
-            self.flat = np.concatenate([self.flat, *(ids for ids, _ in parts)])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(np.concatenate([n for _, n in parts]), dtype=np.int32)])
+        number = self.kept.numbers(coded.dictionary)
         closes = np.cumsum(n_words) + np.arange(len(n_words))
         at = np.zeros(int(n_words.sum()) + len(n_words), np.int32)
         inside = np.ones(len(at), bool)
         inside[closes] = False
-        if len(words):
-            at[inside] = number[coded.indices.to_numpy()]
-        out = pa.ListArray.from_arrays(pa.array(self.off), pa.array(self.flat)).take(pa.array(at)).flatten().to_numpy()
-        n = np.diff(np.cumsum((self.off[1:] - self.off[:-1])[at], dtype=np.int64)[closes], prepend=0)
-        self.flat, self.off = self.flat[: self.off[long]], self.off[: long + 1]
-        return out, n
+        at[inside] = number[coded.indices.to_numpy()]
+        out, n = self.kept.ids(at)
+        return out, sums(n, n_words + 1)
 
 
 _encoders: dict[tuple[int, int], Encoder] = {}
@@ -203,7 +207,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str | None = None, end: in
                 encoder = _encoder(definition.value, end)
                 sinks = [fs.open_output_stream(tmp + x) for x in (".arrow", ".docs")]
                 writer, names = _Writer(sinks[0], encoder.dtype), pa.ipc.new_stream(sinks[1], _DOCS)
-            for a, b in text_slices(batch.column(1), STRETCH):
+            for a, b in text_slices(batch.column(1)):
                 ids, n = encoder.encode(batch.column(1).slice(a, b - a))
                 starts = n_ids + np.cumsum(n) - n
                 names.write_batch(pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(starts), pa.array(n)], schema=_DOCS))
