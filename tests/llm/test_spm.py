@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from brute import frame
@@ -24,10 +25,23 @@ def library():
 
 
 def test_whole_documents_are_encoded_as_the_library_does(t, library, larger):
-    for r in larger("documents").select("text").collect():
-        ids = t.encode(r.text)
-        assert ids == library.encode(r.text)
-        assert t.decode(ids) == library.decode(ids) == r.text
+    texts = [r.text for r in larger("documents").select("text").collect()]
+    flat, n, _ = t.encode_all(pa.array(texts, pa.string()))
+    end = np.cumsum(n)
+    for text, e, k in zip(texts, end.tolist(), n.tolist()):
+        ids = flat[e - k : e].tolist()
+        assert ids == library.encode(text)
+        assert t.decode(ids) == library.decode(ids) == text
+
+
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("one_space", [True, False])
+def test_the_normaliser_rewrites_as_the_library_does(rule, one_space):
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rule, add_dummy_prefix=True, escape_whitespaces=True, remove_extra_whitespaces=one_space)
+    spec = dict(spm._fields(library.serialized_normalizer_spec()))
+    ours = spm.Normaliser(spec.get(2, b""), True, one_space)
+    for text in ["ﬁ  Ａ１ é", " a\tb ", "", "ÀÉ ß ǅ \u3000x", "e\u0301 ½ ™ ㍿", "plain", "  ", "\u0007ab\u00ad"]:
+        assert ours(pa.array([text])).to_pylist()[0].replace(" ", spm.SPACE) == library.normalize(text), text
 
 
 @settings(max_examples=300, deadline=None)

@@ -27,7 +27,7 @@ def test_pairs_are_learnt_that_no_single_term_tells():
         rows.append(np.unique([*rng.integers(10, 60, 5), *([1] if insult else [2]), *([3] if group else [4])]))
         labels.append(int(insult == group))  # so that neither tells anything by itself
     labels = np.array(labels)
-    m = toxicity.train_machine(rows, labels, 0.5, least_z=-1, factors=4, epochs=300)
+    m = toxicity.train_machine(rows, labels, 0.5)
     index = [np.array([m.row[t] for t in r.tolist() if t in m.row]) for r in rows]
     score = m.margins(np.concatenate(index), np.concatenate([[0], np.cumsum([len(r) for r in index])]))
     assert auc(score, labels) > 0.95

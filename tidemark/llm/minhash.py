@@ -1,7 +1,7 @@
 """Near-duplicate documents: SuperMinHash, banding, confirmation on whole shingle sets, components.
 
 1. One scan makes each document's set digest (128 bits), set size and signature. Documents of equal sets form
-   a class, named by the digest, so a thousand exact copies cost as much as one.
+   a class, which gets a number, so a thousand exact copies cost as much as one.
 2. Classes fall into one bucket for each of 32 bands of 4 slots. At similarity 0.8 two share no bucket with
    probability (1 - 0.8**4)**32 < 5e-8.
 3. In each bucket every member is paired with the smallest one (a star, never all pairs). Pairs whose
@@ -66,20 +66,20 @@ def _sketch(k: int):
                 n = np.diff(starts)
                 sig = signatures(s, starts)
                 own = [c.slice(a, b - a) for c in (batch.column(0), batch.column(2))]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), _digests(s, starts), _binary_rows(sig.view(np.uint8).ravel(), np.arange(len(n) + 1) * 2 * SLOTS)], names=["doc_id", "text_hash", "n_shingles", "cls", "sig"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n.astype(np.int64)), _digests(s, starts), _binary_rows(sig.view(np.uint8).ravel(), np.arange(len(n) + 1) * 2 * SLOTS)], names=["doc_id", "text_hash", "n_shingles", "digest", "sig"])
 
     return run
 
 
 def _whole_sets(k: int):
-    """(cls, text) -> the sets of the texts that are of the class."""
+    """(cls, text, digest) -> the sets of the texts that have the digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, s, starts in _sets(batch.column(1), k):
                 cls = batch.column(0).slice(a, b - a)
                 out = pa.RecordBatch.from_arrays([cls, _binary_rows(s.view(np.uint8), starts * 8)], names=["cls", "shingle_set"])
-                yield out.filter(pc.equal(cls, _digests(s, starts)))
+                yield out.filter(pc.equal(batch.column(2).slice(a, b - a), _digests(s, starts)))
 
     return run
 
@@ -164,7 +164,7 @@ def _joining(percent: int):
                 c = up
             return c
 
-        out: list[tuple[bytes, bytes]] = []
+        out: list[tuple[int, int]] = []
         i, j = key[2].as_py(), key[3].as_py()
         for pairs in _open_pairs(sig, comp, table.column("side").to_numpy(), key[0].as_py(), i != j):
             for x, y in pairs.T.tolist():
@@ -172,7 +172,7 @@ def _joining(percent: int):
                 if p != q and _linked(sets[x], sets[y], percent):
                     parent[max(p, q)] = min(p, q)
                     out.append((cls[x], cls[y]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([y for _, y in out], pa.binary())})
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
@@ -192,8 +192,9 @@ def _grouped(docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     bounded_batches(spark)
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    sketch = materialize(hashed.mapInArrow(_sketch(k), "doc_id long, text_hash long, n_shingles long, cls binary, sig binary"), "sketch")
-    classes = materialize(sketch.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    sketch = materialize(hashed.mapInArrow(_sketch(k), "doc_id long, text_hash long, n_shingles long, digest binary, sig binary"), "sketch")
+    classes = sketch.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
+    classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")  # written once, so the numbers stay
     sigs = classes.select("cls", "sig")
 
     band = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.expr("sig").substr(i * 8 + 1, F.lit(8))))).alias("band", "bucket")
@@ -205,19 +206,19 @@ def _grouped(docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
     star = members.where("cls != first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
     end = lambda c: sigs.select(F.col("cls").alias(c), F.col("sig").alias(f"sig_{c}"))
     pairs = star.join(end("b"), "b").join(end("a"), "a").select("a", "b", "sig_a", "sig_b")
-    star = materialize(pairs.mapInArrow(_alike, "a binary, b binary"), "star")
+    star = materialize(pairs.mapInArrow(_alike, "a long, b long"), "star")
 
     def whole(cls: DataFrame) -> DataFrame:
         """Sets of classes, from a row of the smallest id; rows that repeat it are left out."""
-        wanted = classes.select("cls", F.col("rep").alias("doc_id")).join(cls, "cls")
+        wanted = classes.select("cls", "digest", F.col("rep").alias("doc_id")).join(cls, "cls")
         rows = docs.join(wanted, "doc_id").withColumn("h", F.xxhash64("text")).dropDuplicates(["doc_id", "cls", "h"])
-        return rows.select("cls", "text").mapInArrow(_whole_sets(k), "cls binary, shingle_set binary")
+        return rows.select("cls", "text", "digest").mapInArrow(_whole_sets(k), "cls long, shingle_set binary")
 
     wanted = materialize(star.select(F.col("a").alias("cls")).union(star.select("b")).distinct(), "wanted")
     sets = materialize(whole(wanted), "sets")
     side = lambda c: sets.select(F.col("cls").alias(c), F.col("shingle_set").alias(f"set_{c}"))
     pairs = star.join(side("b"), "b").join(side("a"), "a").select("a", "b", "set_a", "set_b")
-    links = materialize(pairs.mapInArrow(_confirm(percent), "a binary, b binary"), "links")
+    links = materialize(pairs.mapInArrow(_confirm(percent), "a long, b long"), "links")
     drop_tables(star, wanted, sets)
 
     comp = components(links)
@@ -232,12 +233,12 @@ def _grouped(docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
         *keys, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "comp", "sig"
     )
     group = [*keys, "i", "j"]
-    needed = rest_in.groupBy(*group).applyInArrow(_needed, "band int, bucket long, i int, j int, side int, cls binary, comp binary, sig binary")
+    needed = rest_in.groupBy(*group).applyInArrow(_needed, "band int, bucket long, i int, j int, side int, cls long, comp long, sig binary")
     needed = materialize(needed, "needed")
     if not needed.isEmpty():
         wanted = materialize(needed.select("cls").distinct(), "wanted")
         sets = materialize(whole(wanted).dropDuplicates(["cls"]), "sets")
-        more = needed.join(sets, "cls").groupBy(*group).applyInArrow(_joining(percent), "a binary, b binary")
+        more = needed.join(sets, "cls").groupBy(*group).applyInArrow(_joining(percent), "a long, b long")
         more = materialize(more, "links")
         if not more.isEmpty():
             old, comp = comp, components(links.union(more))
@@ -245,10 +246,10 @@ def _grouped(docs: DataFrame, k: int, percent: int, block: int) -> DataFrame:
         drop_tables(wanted, sets, more)
     drop_tables(members, rest, needed, links)
 
-    of_class = classes.select("cls", "rep").join(comp.select(F.col("node").alias("cls"), F.col("component").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    of_class = classes.select("digest", "cls", "rep").join(comp.select(F.col("node").alias("cls"), F.col("component").alias("root")), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     smallest = of_class.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialize(of_class.join(smallest, "root").select("cls", "root", "component_id"), "named")
-    out = sketch.drop("sig").withColumn("cls", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("cls"))).join(named, "cls", "left")
+    named = materialize(of_class.join(smallest, "root").select("digest", "root", "component_id"), "named")
+    out = sketch.drop("sig").withColumn("digest", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("digest"))).join(named, "digest", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     out = out.select("doc_id", "text_hash", "n_shingles", "root", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
     out = materialize(out, "grouped")

@@ -6,7 +6,10 @@ as an insult with a group, that single weights miss. Presence, not frequency, co
 a very long text weighs as much as in a short one.
 
 Fitting uses a bounded sample: about SAMPLE labelled texts of each class, chosen by hash, weighted back to
-the classes' true shares, and of their terms the MAX_TERMS that tell the classes apart best.
+the classes' true shares. The machine learns from the terms that tell the classes apart by themselves (a
+chi-square above LEAST_Z) and from those that do so in a pair (above LEAST_PAIR, and more than twice what either
+does alone); pairs are counted of all terms that PAIR_SHARE of the sample or more have. Both are rules about the
+evidence in the sample; there is no cap on the number of terms but that of the hash.
 """
 
 from __future__ import annotations
@@ -22,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, crc32_mod, pick, set_apart, text_slices
 
-SAMPLE, MAX_TERMS, FACTORS = 4000, 4096, 8
+SAMPLE, FACTORS = 4000, 8
+LEAST_Z, LEAST_PAIR, PAIR_SHARE = 10.8, 40.0, 0.02
 BITS = 18
 CACHE = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -55,7 +59,37 @@ class Machine:
         return out
 
 
-def train_machine(rows: list[np.ndarray], labels: np.ndarray, prior: float, max_terms: int = MAX_TERMS, factors: int = FACTORS, epochs: int = 120, seed: int = 7, least_z: float = 6) -> Machine:
+def _chi(positive: np.ndarray, total: np.ndarray, n: float, p: float) -> np.ndarray:
+    """How far the positive among ``total`` texts are from chance; 0 for too few texts."""
+    spread = total * (p / n) * (1 - p / n) * (1 - total / n)
+    return np.where((total >= 4) & (spread > 0), (positive - total * p / n) ** 2 / np.maximum(spread, 1e-9), 0)
+
+
+def _tell_in_pairs(flat: np.ndarray, owner: np.ndarray, labels: np.ndarray, with_term: np.ndarray, z: np.ndarray, share: float, least: float) -> np.ndarray:
+    """Terms that tell the classes apart together with another; pairs are counted by products of blocks of 512 terms."""
+    n, p = float(len(labels)), labels.sum()
+    often = np.flatnonzero(with_term >= max(4, share * n))
+    back = np.full(len(with_term), -1)
+    back[often] = np.arange(len(often))
+    there = np.zeros((len(often), len(labels)), np.uint8)
+    ok = back[flat] >= 0
+    there[back[flat[ok]], owner[ok]] = 1
+    found = np.zeros(len(often), bool)
+    single = z[often]
+    for a in range(0, len(often), 512):
+        left = there[a : a + 512].astype(np.float32)
+        for b in range(a, len(often), 512):
+            right = there[b : b + 512].astype(np.float32)
+            chi = _chi((left * labels.astype(np.float32)) @ right.T, left @ right.T, n, p)
+            tells = (chi > least) & (chi > 2 * np.maximum(single[a : a + 512, None], single[None, b : b + 512]))
+            found[a : a + 512] |= tells.any(axis=1)
+            found[b : b + 512] |= tells.any(axis=0)
+    return often[found]
+
+
+def train_machine(
+    rows: list[np.ndarray], labels: np.ndarray, prior: float, factors: int = FACTORS, epochs: int = 120, seed: int = 7, least_z: float = LEAST_Z, least_pair: float = LEAST_PAIR, pair_share: float = PAIR_SHARE
+) -> Machine:
     """Full-batch Adam on weighted logistic loss with L2; deterministic."""
     labels = np.asarray(labels, float)
     if not len(rows) or labels.min() == labels.max():
@@ -66,11 +100,8 @@ def train_machine(rows: list[np.ndarray], labels: np.ndarray, prior: float, max_
     with_term = np.bincount(flat, minlength=size).astype(float)
     positive = np.bincount(flat, labels[owner], size)
     n, p = float(len(rows)), labels.sum()
-    expected = with_term * p / n
-    spread = with_term * (p / n) * (1 - p / n) * (1 - with_term / n)
-    z = np.where((with_term >= 4) & (spread > 0), (positive - expected) ** 2 / np.maximum(spread, 1e-9), 0)
-    kept = np.sort(np.argsort(-z, kind="stable")[:max_terms])
-    kept = kept[z[kept] > least_z]  # terms that tell nothing apart only add noise
+    z = _chi(positive, with_term, n, p)
+    kept = np.union1d(np.flatnonzero(z > least_z), _tell_in_pairs(flat, owner, labels, with_term, z, pair_share, least_pair))
     back = np.full(size, -1)
     back[kept] = np.arange(len(kept))
     ok = back[flat] >= 0
@@ -132,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) ->
 def scorer(spark, machine: Machine):
     """A function of a text column: its score."""
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(machine)  # MAX_TERMS rows at most
+    shared = spark.sparkContext.broadcast(machine)  # 2**BITS rows at most, and as many as the sample gives evidence for
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
@@ -163,7 +194,8 @@ def scorer(spark, machine: Machine):
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id, text).
 
-    A null, empty or wordless text gets the score of no terms. Rows may repeat and ids may be null.
+    A null, empty or wordless text gets the score of no terms. Texts are read whole, however long. Each row gives a
+    row: rows may repeat, ids be null, scores tie. Without rows the result is empty. Extra columns aren't read.
     """
     cols = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     out = cols.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), scorer(docs.sparkSession, machine)("text").alias("score"))
@@ -171,6 +203,10 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of ``docs`` that score below 0.5."""
+    """The rows of ``docs`` (text) that score below 0.5, with the columns they came with, clashing names too.
+
+    A null, empty or wordless text has the score of no terms. Rows that repeat stay or go together. Without rows
+    the result is empty.
+    """
     rows, columns = set_apart(docs, "text")
     return rows.where(scorer(docs.sparkSession, machine)(F.col("text")) < 0.5).select(*columns)
