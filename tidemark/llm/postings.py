@@ -4,7 +4,8 @@ Centroids are fitted by k-means with a penalty on full clusters, on a bounded sa
 there are at most MAX_CENTROIDS. They stay in memory with a graph of their near ones, and a best-first
 walk over the graph finds the centroids nearest to a vector. Every vector is filed in the list of its
 nearest centroid, and a boundary vector also in those of centroids hardly farther away. A query reads the
-lists of the centroids within a distance ratio of its nearest one. A long list is dealt out in blocks, each its
+lists of the centroids within a distance ratio of its nearest one, and more of the nearest until they hold enough
+vectors. A long list is dealt out in blocks, each its
 own group, so a vector that occurs very often burdens no task.
 
 Vectors null, empty, zero or with null or non-finite components take no part, nor do null ids. Rows that
@@ -25,11 +26,11 @@ from pyspark.sql.window import Window as W
 from .common import bounded_batches, drop_tables, materialize, pick
 from .vectors import matrix, one_length, unit, usable
 
-SAMPLE, MAX_CENTROIDS, LIST_SIZE = 20_000, 4096, 400
+SAMPLE, MAX_CENTROIDS, LIST_SIZE = 20_000, 4096, 64
 #: Copies of a boundary vector at most, and how much farther than the nearest their centroids may be.
-COPIES, COPY_RATIO = 4, 1.05
+COPIES, COPY_RATIO = 2, 1.05
 #: Lists that a query reads at most, as a share of all, and how much farther their centroids may be.
-READ_SHARE, READ_RATIO = 0.7, 1.3
+READ_SHARE, READ_RATIO = 0.5, 1.3
 NEIGHBOURS, BLOCK = 24, 2048
 
 
@@ -96,8 +97,8 @@ class Graph:
         return order, sims[rows, order]
 
 
-def _cells(graphs, most, ratio: float):
-    """(id, dim, embedding) -> the same with each cell it goes to."""
+def _cells(graphs, most, ratio: float, sizes=None, least: int = 0):
+    """(id, dim, embedding) -> the same with each cell it goes to; with ``sizes`` of lists at least so many that they hold ``least`` vectors, if all do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_dim = graphs.value
@@ -108,9 +109,18 @@ def _cells(graphs, most, ratio: float):
                 part = batch.filter(pa.array(dims == d))
                 for a in range(0, part.num_rows, 256):
                     rows = part.slice(a, 256)
-                    found, sims = graph.search(unit(matrix(rows.column(2))), most(len(graph.c)))
+                    x, want = unit(matrix(rows.column(2))), most(len(graph.c))
+                    found, sims = graph.search(x, want)
+                    if sizes is not None and (sizes.value[int(d)][found] * (sims > -np.inf)).sum(axis=1).min() < least:
+                        found = np.argsort(-(x @ graph.c.T), axis=1, kind="stable")
+                        sims = np.take_along_axis(x @ graph.c.T, found, axis=1)
                     far = np.sqrt(np.maximum(0, 2 - 2 * sims))
-                    r, k = np.nonzero((far <= ratio * far[:, :1] + 1e-12) & (sims > -np.inf))
+                    near = far <= ratio * far[:, :1] + 1e-12
+                    near[:, want:] = False
+                    if sizes is not None:
+                        held = sizes.value[int(d)][found]
+                        near |= np.cumsum(held, axis=1) - held < least
+                    r, k = np.nonzero(near & (sims > -np.inf))
                     rows = rows.take(pa.array(r))
                     yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(found[r, k].astype(np.int32))], names=["id", "dim", "embedding", "cell"])
 
@@ -172,8 +182,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPL
     if "array<float>" not in schema:
         fine = fine.withColumn("embedding", F.col("embedding").cast("array<double>"))
     lists = materialize(fine.mapInArrow(_cells(graphs, lambda n: COPIES, COPY_RATIO), schema), "lists")
+    held = {d: np.zeros(len(g.c), np.int64) for d, g in fitted.items()}
+    for r in lists.groupBy("dim", "cell").agg(F.count("*").alias("n")).collect():  # a row for each centroid at most
+        held[r["dim"]][r["cell"]] = r["n"]
+    sizes = spark.sparkContext.broadcast(held)
     asked = fine.where(is_query if is_query is not None else F.lit(True))
-    asked = materialize(asked.mapInArrow(_cells(graphs, lambda n: max(8, int(n * READ_SHARE)), READ_RATIO), schema), "queries")
+    asked = materialize(asked.mapInArrow(_cells(graphs, lambda n: max(8, int(n * READ_SHARE)), READ_RATIO, sizes, COPIES * (k + 1)), schema), "queries")
     cell = ["dim", "cell"]
     blocks = lambda df, name: df.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     shape = materialize(blocks(lists, "gl").join(blocks(asked, "gq"), cell), "shape")  # a row for each centroid at most
