@@ -221,3 +221,16 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, block: int = BLOCK)
     out = materialize(out, "duplicates")
     drop_tables(classes, hashed, member_table, found)
     return out
+
+
+#: DuckDB: all pairs of one label.
+ORACLE_SQL = r"""
+with recursive v as (select vec_id, label, embedding::double[] as x from embeddings where label is not null and embedding is not null and vec_id is not null),
+u as (select vec_id, label, x, len(x) as dim from v where len(x) > 0 and len(list_filter(x, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(x, lambda c: c <> 0)) > 0),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.dim = b.dim and a.vec_id < b.vec_id where list_cosine_similarity(a.x, b.x) >= 0.93),
+e as (select a, b from l union all select b, a from l),
+n as (select a as vec_id, count(*) as n from e group by a),
+r as (select vec_id as a, vec_id as b from embeddings union select r.a, e.b from r join e on r.b = e.a),
+m as (select a as vec_id, min(b) as component_id from r group by a)
+select d.vec_id, coalesce(n.n, 0)::bigint as n_links, m.component_id, d.vec_id = m.component_id as kept from embeddings d join m using (vec_id) left join n using (vec_id)
+"""

@@ -55,5 +55,8 @@ def op10_token_files(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_license_scan, op3_sentencepiece, op4_source_mix, op5_toxicity, op6_near_duplicates, op7_vector_duplicates, op8_preference_format, op9_nearest_neighbours, op10_token_files)}
 
-#: The others can't be stated in SQL; tests hold them against brute force, exact round trips or held-out accuracy.
-ORACLES = {"op2_license_scan": licenses.oracle_sql(), "op8_preference_format": preference.ORACLE_SQL}
+#: Learned models, tokenizers and approximate search can't be stated in SQL; tests hold them against brute force, exact round trips or held-out accuracy.
+ORACLES = {
+    "op2_license_scan": licenses.oracle_sql(), "op4_source_mix": mixing.ORACLE_SQL, "op6_near_duplicates": minhash.ORACLE_SQL, "op7_vector_duplicates": crosspolytope.ORACLE_SQL,
+    "op8_preference_format": preference.ORACLE_SQL,
+}
