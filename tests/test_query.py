@@ -1,13 +1,15 @@
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from model import SCHEMA, holds, latest, quotes
+from pyspark.sql import functions as F
 
 from tidemark.errors import EmptyResultError, NotSingleError, QueryError, UnsupportedQueryError
 from tidemark.functions.predicates import And, Cmp, In, IsNull, Not, Or, Param, col
 from tidemark.query import Query
+from tidemark.sources.journal import Journal
 from tidemark.spec import JournalSpec, schema_of
 
 SPEC = JournalSpec("quote", "timestamp", (), ("sym", "ex"))
@@ -227,3 +229,27 @@ def test_field_types():
     assert s["a"].dataType.simpleString() == "smallint" and s["b"].nullable and not s["a"].nullable
     with pytest.raises(QueryError):
         schema_of(a="BitSet")
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Tokyo"])
+def test_instants_do_not_depend_on_the_zone(spark, tmp_path, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.range(48).select("id", F.timestamp_micros(F.lit(1704412800000000) + F.col("id") * 3_600_000_000).alias("ts"))  # from 2024-01-05T00:00Z
+        spec = JournalSpec("j", "ts", ("id",), (), "DAY")
+        want = list(range(5, 30))
+        low, high = datetime(2024, 1, 5, 5, tzinfo=timezone.utc), datetime(2024, 1, 6, 6)
+        assert sorted(r.id for r in Query.over(df, spec).where(col("ts") >= low).where(col("ts") < high).to_df().collect()) == want
+        j = Journal(spark, str(tmp_path / zone.replace("/", "_")), spec, df.schema)
+        j.append(df)
+        assert sorted(j.manifest().files) == ["2024-01-05", "2024-01-06"]
+        assert sorted(r.id for r in j.read().where(col("ts") >= low).where(col("ts") < high).to_df().collect()) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_in_reaches_the_scan_and_nothing_is_sorted(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    q = Query.over(df, JournalSpec("events", "ts", ("event_id",)))
+    plan = q.ql("SELECT * FROM events WHERE user_id IN (1, 2)", ordered=False)._jdf.queryExecution().toString()
+    assert "In(user_id" in plan.split("PushedFilters:")[1].split("]")[0] + "]" and "Exchange" not in plan

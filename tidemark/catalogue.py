@@ -6,7 +6,7 @@ Rows are compared as sets, so a query skips the final sort unless order decides
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +62,7 @@ def _add(name: str, sql: str, query: Callable[[SparkSession, str], DataFrame]) -
 
 def _ql(name: str, text: str, sql: str, **params) -> None:
     """A statement of the query language."""
-    _add(name, sql, lambda spark, sf_dir: catalog(spark, sf_dir).ql(text, **params))
+    _add(name, sql, lambda spark, sf_dir: catalog(spark, sf_dir).ql(text, ordered=False, **params))
 
 
 def _fluent(name: str, sql: str, build: Callable[[Query], Query | DataFrame], source: Callable = events) -> None:
@@ -190,7 +190,7 @@ _fluent("first", f"SELECT * FROM events ORDER BY {_NEWEST} LIMIT 1", lambda q: q
 _fluent("first_pred", "SELECT * FROM events WHERE event_type = 'signup' ORDER BY ts, event_id LIMIT 1", lambda q: q.order_by("ts").first_df(col("event_type") == "signup"))
 _fluent("last", "SELECT * FROM events ORDER BY ts, event_id LIMIT 1", lambda q: q.last_df())
 _fluent("last_pred", f"SELECT * FROM events WHERE user_id = 2 ORDER BY {_NEWEST} LIMIT 1", lambda q: q.order_by("ts").last_df(col("user_id") == 2))
-_fluent("single", "SELECT * FROM events WHERE event_id = 42", lambda q: q.where(col("event_id") == 42).take(2))
+_fluent("single", "SELECT * FROM events WHERE event_id = 42", lambda q: q.source.sparkSession.createDataFrame([q.single(col("event_id") == 42)], q.source.schema))
 
 # set operations
 
@@ -198,6 +198,9 @@ _fluent(
     "union_queries", f"SELECT * FROM events WHERE (event_type = 'click' AND ts < {_b}) OR user_id = 7",
     lambda q: q.where(col("event_type") == "click").where(col("ts") < B).union(q.where(col("user_id") == 7)),
 )
+_fluent("intersect_queries", "SELECT * FROM events WHERE user_id = 7 INTERSECT SELECT * FROM events WHERE event_type = 'click'", lambda q: q.where(col("user_id") == 7).intersect(q.where(col("event_type") == "click")))
+_fluent("except_queries", "SELECT * FROM events WHERE user_id = 7 EXCEPT SELECT * FROM events WHERE event_type = 'click'", lambda q: q.where(col("user_id") == 7).except_(q.where(col("event_type") == "click")))
+_fluent("concat_distinct", "SELECT * FROM events WHERE user_id IN (7, 8)", lambda q: q.where(col("user_id") == 7).concat(q.where(col("user_id").isin(7, 8))).distinct())
 _fluent("union_latest", f"({_latest('user_id', f'WHERE ts < {_b}')}) UNION ({_latest('user_id')})", lambda q: q.where(col("ts") < B).latest_by("user_id").union(q.latest_by("user_id")))
 for _name, _op in (("ql_union", "UNION"), ("ql_union_all", "UNION ALL"), ("ql_intersect", "INTERSECT"), ("ql_except", "EXCEPT")):
     _sql = f"SELECT user_id, event_type FROM events WHERE ts < TIMESTAMP '{B}' {_op} SELECT user_id, event_type FROM events WHERE ts >= TIMESTAMP '{B}' AND value > 40"
@@ -303,6 +306,45 @@ def stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.read().where(col("event_type") == "view").to_df(ordered=False)
 
 
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each thing that the engine refuses, with the error it gives."""
+    q = events(spark, sf_dir)
+    df = spark.read.parquet(f"{sf_dir}/events.parquet")
+    j = _new_journal(spark, EVENTS, df)
+    j.append(df.where(F.col("ts") >= F.lit(str(B)).cast("timestamp_ntz")))
+    tried = {
+        "where after take": lambda: q.take(5).where(col("user_id") == 1), "arithmetic": lambda: q.ql("SELECT * FROM events WHERE user_id + 1 = 2"), "join": lambda: q.ql("SELECT * FROM events, orders"),
+        "single of many": lambda: q.single(col("event_type") == "click"), "single of none": lambda: q.single(col("event_id") == -1), "first of none": lambda: q.first(col("event_id") == -1),
+        "append before the last row": lambda: j.append(df.where(F.col("ts") < F.lit(str(A)).cast("timestamp_ntz"))), "first of none, or none": lambda: q.first_or_none(col("event_id") == -1),
+    }
+    rows = []
+    for what, call in tried.items():
+        try:
+            rows.append((what, "none" if call() is None else "accepted"))
+        except (ValueError, RuntimeError) as e:
+            rows.append((what, type(e).__name__))
+    return spark.createDataFrame(rows, "what string, error string")
+
+
+def journal_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A journal emptied, and begun anew with earlier rows."""
+    df = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    j = _new_journal(spark, ORDERS, df)
+    j.append(df.where(F.col("o_orderdate") >= F.lit(str(DAY)).cast("timestamp_ntz")))
+    j.truncate()
+    j.append(df.where(F.col("o_orderdate") < F.lit(str(DAY)).cast("timestamp_ntz")))
+    return j.read().to_df(ordered=False)
+
+
+def instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time ranges over a column of instants (TIMESTAMP), from the epoch in microseconds."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts"))))
+    return Query.over(df, EVENTS).where(col("ts") >= A.replace(tzinfo=timezone.utc)).where(col("ts") < B).select("event_id", "event_type").to_df(ordered=False)
+
+
+_add("refused", "SELECT * FROM (VALUES ('where after take', 'UnsupportedQueryError'), ('arithmetic', 'UnsupportedQueryError'), ('join', 'UnsupportedQueryError'), ('single of many', 'NotSingleError'), ('single of none', 'EmptyResultError'), ('first of none', 'EmptyResultError'), ('append before the last row', 'OutOfOrderError'), ('first of none, or none', 'none')) t(what, error)", refused)
+_add("journal_truncate", f"SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '{DAY}'", journal_truncate)
+_add("instants", f"SELECT event_id, event_type FROM events WHERE ts >= {_a} AND ts < {_b}", instants)
 _add("journal_roundtrip", "SELECT * FROM events", journal_roundtrip)
 _add("journal_interval", "SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '1996-02-10' AND o_orderdate < TIMESTAMP '1996-05-03' AND o_orderstatus <> 'P'", journal_interval)
 _add("journal_latest", _latest("user_id", f"WHERE ts < {_c}"), journal_latest)

@@ -205,7 +205,7 @@ def resolve(p: Predicate, schema: T.StructType, journal: str, timestamp: str | N
             return IsNull(f.name) if p.op == "=" else Not(IsNull(f.name))
         return Cmp(f.name, p.op, v)
     if strict and f.name != timestamp:
-        raise UnsupportedQueryError("Comparison is supported for the timestamp column only")
+        raise UnsupportedQueryError(f"With strict=True only the timestamp can be ordered, not [{f.name}]")
     if v is None:
         raise QueryError(f"[{f.name}] can't be ordered against NULL")
     return Cmp(f.name, p.op, v)
@@ -246,6 +246,8 @@ def conjuncts(p: Predicate | None) -> list[Predicate]:
 def literal(v: object, kind: T.DataType) -> Column:
     """A constant that Parquet filters understand; timestamps never pass through the session's time zone."""
     if isinstance(v, datetime):
+        if isinstance(kind, T.TimestampType):  # an instant; values without a zone are UTC
+            return F.timestamp_micros(F.lit((v - _EPOCH) // timedelta(microseconds=1)).cast("long"))
         return F.lit(v.isoformat(sep=" ")).cast(kind)
     if isinstance(v, float) and isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return F.lit(v)  # 2.5 equals no integer
@@ -254,20 +256,20 @@ def literal(v: object, kind: T.DataType) -> Column:
     return F.lit(v).cast(kind)
 
 
-def to_column(p: Predicate, schema: T.StructType) -> Column:
-    """A resolved predicate as a Spark column."""
+def to_column(p: Predicate, schema: T.StructType, negated: bool = False) -> Column:
+    """A resolved predicate as a Spark column for a filter. Null instead of false selects the same rows, and reaches the scan, but below a NOT."""
     if isinstance(p, And):
-        return reduce(Column.__and__, (to_column(q, schema) for q in p.parts), F.lit(True))
+        return reduce(Column.__and__, (to_column(q, schema, negated) for q in p.parts), F.lit(True))
     if isinstance(p, Or):
-        return reduce(Column.__or__, (to_column(q, schema) for q in p.parts), F.lit(False))
+        return reduce(Column.__or__, (to_column(q, schema, negated) for q in p.parts), F.lit(False))
     if isinstance(p, Not):
-        return ~to_column(p.part, schema)
+        return ~to_column(p.part, schema, True)
     c, kind = F.col(f"`{p.column}`"), schema[p.column].dataType
     if isinstance(p, IsNull):
         return c.isNull()
     if isinstance(p, In):
         some = [literal(v, kind) for v in p.values if v is not None]
-        hit = F.coalesce(c.isin(*some), F.lit(False)) if some and schema[p.column].nullable else c.isin(*some) if some else F.lit(False)
+        hit = F.coalesce(c.isin(*some), F.lit(False)) if some and negated and schema[p.column].nullable else c.isin(*some) if some else F.lit(False)
         return hit | c.isNull() if None in p.values else hit
     v = literal(p.value, kind)
     if p.op == "=":

@@ -332,8 +332,8 @@ def _finish(q, s: Select, params: dict):
     return q.select(*[(c if isinstance(c, str) else c.text, a) for n, a in s.columns for c, a in (every if n is None else [(n, a)])])
 
 
-def run(text: str, find: Callable, params: dict) -> DataFrame:
-    """The rows of a statement; ``find`` gives the query over a journal by its name."""
+def run(text: str, find: Callable, params: dict, ordered: bool = True) -> DataFrame:
+    """The rows of a statement; ``find`` gives the query over a journal by its name. Without ORDER BY the order may be waived."""
     st = parse(text)
     q = _query(st.first, find, params)
     if not st.more:
@@ -342,7 +342,7 @@ def run(text: str, find: Callable, params: dict) -> DataFrame:
             q = q.order_by(c.text, down)
             for c, down in rest:
                 q = q.then_by(c.text, down)
-        return _finish(q, st.first, params).to_df()
+        return _finish(q, st.first, params).to_df(ordered or bool(st.order))
     out = _finish(q, st.first, params).to_df(ordered=False)
     for op, s in st.more:
         out = compound(op, out, _finish(_query(s, find, params), s, params).to_df(ordered=False))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .errors import EmptyResultError, NotSingleError, QueryError, UnsupportedQueryError
 from .functions.predicates import Col, Cmp, Or, Predicate, col, find_column, resolve
-from .operators.setops import same_rows
+from .operators.setops import compound, same_rows
 from .plans.ir import Latest, Project, Reverse, Skip, Sort, Step, Take, Where
 from .plans.lower import lower, timestamp_order_first
 from .spec import JournalSpec
@@ -51,7 +51,7 @@ class Query:
     def where(self, predicate: Predicate) -> Query:
         """Several where() are a conjunction."""
         if self._sliced:
-            raise UnsupportedQueryError("Where cannot be applied after Take, Skip, Single, First or Count")
+            raise UnsupportedQueryError("A slice has been taken; filter before take(), skip() and what else ends a query")
         return self._with(Where(resolve(predicate, self.source.schema, self.spec.name, self.spec.timestamp, self.params, self.strict)))
 
     def latest_by(self, column: str | Col, split: bool = True) -> Query:
@@ -102,6 +102,24 @@ class Query:
         rows = same_rows(self._rows(), other._rows(), self.spec.order_key)
         return replace(self, source=rows, steps=(), prune=None)
 
+    def _with_rows(self, rows: DataFrame) -> Query:
+        return replace(self, source=rows, steps=(), prune=None)
+
+    def intersect(self, other: Query) -> Query:
+        """Different rows that both queries have."""
+        return self._with_rows(compound("INTERSECT", self._rows(), other._rows()))
+
+    def except_(self, other: Query) -> Query:
+        """Different rows of this query that the other doesn't have."""
+        return self._with_rows(compound("EXCEPT", self._rows(), other._rows()))
+
+    def concat(self, other: Query) -> Query:
+        """All rows of both queries."""
+        return self._with_rows(compound("UNION ALL", self._rows(), other._rows()))
+
+    def distinct(self) -> Query:
+        return self._with_rows(self._rows().distinct())
+
     def _rows(self, ordered: bool = False) -> DataFrame:
         steps = tuple(s for s in self.steps if not isinstance(s, Project))
         return replace(self, steps=steps, hidden=()).to_df(ordered)
@@ -175,7 +193,8 @@ class Query:
         ts = col(self.spec.timestamp)
         return self.where(Cmp(column, "=", value)).where(ts >= start).where(ts < end).to_df()
 
-    def ql(self, text: str, **params) -> DataFrame:
+    def ql(self, text: str, *, ordered: bool = True, **params) -> DataFrame:
+        """A statement's rows; ``ordered=False`` spares the sort where order doesn't matter."""
         from .plans.ql import run
 
-        return run(text, lambda name: self, params)
+        return run(text, lambda name: self, params, ordered)

@@ -97,12 +97,15 @@ class Manifest:
 
 
 def partition_of(ts: Column, kind: T.DataType, unit: str) -> Column:
-    """The partition's name; of epoch milliseconds and of timestamps without zone alike, in UTC."""
+    """The partition's name; of epoch milliseconds, instants and timestamps without zone alike in UTC, whatever the session's zone."""
     form = PARTITION_FORMATS[unit]
     if form is None:
         return F.lit("default")
-    if not isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-        ts = F.timestamp_add("MILLISECOND", ts.cast("long"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    if isinstance(kind, T.TimestampType):
+        ts = F.timestamp_add("MICROSECOND", F.unix_micros(ts), zero)
+    elif not isinstance(kind, T.TimestampNTZType):
+        ts = F.timestamp_add("MILLISECOND", ts.cast("long"), zero)
     return F.date_format(ts, form)
 
 
@@ -288,7 +291,7 @@ class Catalog:
     def register(self, name: str, query: Query) -> None:
         self.queries[name.lower()] = query
 
-    def ql(self, text: str, **params) -> DataFrame:
+    def ql(self, text: str, *, ordered: bool = True, **params) -> DataFrame:
         from ..plans.ql import run
 
         def find(name: str) -> Query:
@@ -296,4 +299,4 @@ class Catalog:
                 raise QueryError(f"There is no journal {name}")
             return self.queries[name.lower()]
 
-        return run(text, find, params)
+        return run(text, find, params, ordered)

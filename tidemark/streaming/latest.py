@@ -15,13 +15,11 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return (reader.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else reader).parquet(path)
 
 
-def latest_by_stream(stream: DataFrame, spec: JournalSpec, key: str, lateness: str | None = None) -> DataFrame:
+def latest_by_stream(stream: DataFrame, spec: JournalSpec, key: str) -> DataFrame:
     """The last row of each key so far; for output modes ``update`` and ``complete``. State is a row for each key.
 
-    With ``lateness`` rows that come later than that behind the newest timestamp are dropped.
+    Rows may come in any order: a late row counts if it is the key's last by time. State grows with the keys, and stays.
     """
-    if lateness is not None:
-        stream = stream.withWatermark(spec.timestamp, lateness)
     rest = [c for c in stream.columns if c != key]
     last = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*[F.col(f"`{c}`") for c in spec.order_key])).alias("_row")
     return stream.groupBy(F.col(f"`{key}`")).agg(last).select(*[F.col(f"`{key}`") if c == key else F.col(f"_row.`{c}`").alias(c) for c in stream.columns])
