@@ -113,3 +113,18 @@ def test_components(spark):
     random.Random(1).shuffle(line)
     got = {r.node: r.component for r in components(spark.createDataFrame(list(zip(line, line[1:])), "a long, b long")).collect()}
     assert got == dict.fromkeys(range(300), 0)
+
+
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    rows = [(1, "a b c d e"), (3, "unrelated words in this text"), (1, "quite other words stand here"), (3, "A b c d e"), (5, ""), (5, None), (1, "a b c d e")]
+    got = sorted(tuple(r) for r in minhash.near_duplicates(frame(spark, rows)).collect())
+    assert got == [(1, 1, 1, True)] * 3 + [(3, 1, 1, False), (3, 1, 3, True), (5, 0, 5, True), (5, 0, 5, True)]
+    kept = sorted((r.doc_id, r.text) for r in minhash.keep_one(frame(spark, rows)).collect())
+    assert [i for i, _ in kept] == [1, 1, 3, 5] and kept[:3] == [(1, "a b c d e"), (1, "quite other words stand here"), (3, "unrelated words in this text")]
+
+
+def test_sets_drawn_for_in_stretches_have_the_same_signatures():
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (5, 700, 0, 90)]
+    flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    assert np.array_equal(signatures(flat, starts, stretch=64), signatures(flat, starts))
