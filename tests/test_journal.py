@@ -46,6 +46,20 @@ def test_a_time_range_reads_its_partitions_only(spark, journal):
     assert days(journal.read().where((col("ts") < START + timedelta(days=2)) | (col("ts") >= START + timedelta(days=98)))) == [99, 98, 1, 0]
 
 
+def test_only_files_of_the_time_range_are_opened(spark, journal):
+    journal.append(frame(spark, range(60)))
+    journal.append(frame(spark, range(60, 100)))
+    opened = lambda q: {f.split("/p=")[1].split("/")[0] for f in q.to_df(ordered=False).inputFiles()}
+    month = journal.read().where((col("ts") >= START + timedelta(days=31)) & (col("ts") < datetime(2015, 3, 1)))
+    assert opened(month) == {"2015-02"} and len(month.to_df().collect()) == 28
+    assert opened(journal.read()) == {"2015-01", "2015-02", "2015-03", "2015-04"}
+    either = journal.read().where((col("ts") < datetime(2015, 1, 3)) | (col("ts") >= datetime(2015, 4, 1)))
+    assert opened(either) == {"2015-01", "2015-04"} and days(either) == [99, 98, 97, 96, 95, 94, 93, 92, 91, 90, 1, 0]
+    assert opened(month.latest_by("sym")) == {"2015-02"}
+    none = journal.read().where((col("ts") > datetime(2016, 1, 1)) & (col("ts") < datetime(2015, 1, 1)))
+    assert opened(none) == set() and days(none) == []
+
+
 def test_appends_are_in_order(spark, journal):
     journal.append(frame(spark, [5, 3, 4]))
     assert days(journal.read()) == [5, 4, 3]

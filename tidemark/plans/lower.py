@@ -44,12 +44,12 @@ def timestamp_order_first(steps: tuple[Step, ...], spec: JournalSpec) -> tuple[S
     return (Sort(((spec.timestamp, down ^ flip),)), *rest)
 
 
-def restricted(df: DataFrame, spec: JournalSpec, r: DateRange, prune=None) -> DataFrame:
-    """Rows in a time range; ``prune`` adds what the range says about partitions."""
+def restricted(df: DataFrame, spec: JournalSpec, r: DateRange, scan=None) -> DataFrame:
+    """Rows in a time range; ``scan`` gives, instead of ``df``, a frame over the files that may hold such rows."""
+    if scan is not None:
+        df = scan(r)
     if r.is_all:
         return df
-    if prune is not None:
-        df = prune(df, r)
     return df.where(P.range_column(r, spec.timestamp, df.schema[spec.timestamp].dataType))
 
 
@@ -63,25 +63,23 @@ def _branches(p: P.Predicate | None) -> list[P.Predicate | None]:
     return [p]
 
 
-def filtered(df: DataFrame, spec: JournalSpec, p: P.Predicate | None, latest: Latest | None, prune=None) -> DataFrame:
+def filtered(df: DataFrame, spec: JournalSpec, p: P.Predicate | None, latest: Latest | None, scan=None) -> DataFrame:
     """All filters and LATEST BY."""
-    if p is None and latest is None:
-        return df
     r = P.time_range(p, spec.timestamp) if p is not None else ALL
     rest = [q for q in P.conjuncts(p) if not (spec.timestamp and P.only_time(q, spec.timestamp))]
     if latest is None:
-        out = restricted(df, spec, r, prune)
+        out = restricted(df, spec, r, scan)
         return out.where(P.to_column(P.And(tuple(rest)), df.schema)) if rest else out
     if latest.split and any(isinstance(q, P.Or) for q in rest):
         branches = _branches(p)
         if len({P.time_range(b, spec.timestamp) for b in branches}) > 1:
-            each = [filtered(df, spec, b, Latest(latest.key), prune) for b in branches]
+            each = [filtered(df, spec, b, Latest(latest.key), scan) for b in branches]
             return reduce(lambda a, b: same_rows(a, b, spec.order_key), each)
-    out = latest_by(restricted(df, spec, r, prune), latest.key, spec.order_key)
+    out = latest_by(restricted(df, spec, r, scan), latest.key, spec.order_key)
     return out.where(P.to_column(P.And(tuple(rest)), df.schema)) if rest else out
 
 
-def lower(df: DataFrame, spec: JournalSpec, steps: tuple[Step, ...], prune=None, ordered: bool = True, hidden: tuple[str, ...] = ()) -> DataFrame:
+def lower(df: DataFrame, spec: JournalSpec, steps: tuple[Step, ...], scan=None, ordered: bool = True, hidden: tuple[str, ...] = ()) -> DataFrame:
     """The rows of ``steps`` over ``df``; with ``ordered`` in their order, newest first by default."""
     first = next((i for i, s in enumerate(steps) if isinstance(s, (Take, Skip))), len(steps))
     if any(isinstance(s, (Where, Latest)) for s in steps[first:]):
@@ -91,7 +89,7 @@ def lower(df: DataFrame, spec: JournalSpec, steps: tuple[Step, ...], prune=None,
     if len(latest) > 1:
         raise UnsupportedQueryError("LATEST BY may be given once")
     split = latest and any(isinstance(s, Where) for s in steps[: steps.index(latest[0])])
-    out = filtered(df, spec, P.And(tuple(parts)) if len(parts) > 1 else parts[0] if parts else None, Latest(latest[0].key, bool(split and latest[0].split)) if latest else None, prune)
+    out = filtered(df, spec, P.And(tuple(parts)) if len(parts) > 1 else parts[0] if parts else None, Latest(latest[0].key, bool(split and latest[0].split)) if latest else None, scan)
     keys, is_sorted, columns = default_order(spec), False, None
     tie = default_order(spec)
     for s in steps:

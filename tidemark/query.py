@@ -24,7 +24,7 @@ class Query:
     spec: JournalSpec
     steps: tuple[Step, ...] = ()
     params: dict = field(default_factory=dict)
-    prune: object = None
+    scan: object = None  # a frame over the files of a time range, if ``source`` has no rows but the schema
     hidden: tuple[str, ...] = ()
     strict: bool = False
     compat_ts_order: bool = False
@@ -100,10 +100,10 @@ class Query:
             both = lambda q: reduce(lambda a, b: a & b, (s.predicate for s in q.steps))
             return replace(self, steps=(Where(Or((both(self), both(other)))),))
         rows = same_rows(self._rows(), other._rows(), self.spec.order_key)
-        return replace(self, source=rows, steps=(), prune=None)
+        return replace(self, source=rows, steps=(), scan=None)
 
     def _with_rows(self, rows: DataFrame) -> Query:
-        return replace(self, source=rows, steps=(), prune=None)
+        return replace(self, source=rows, steps=(), scan=None)
 
     def intersect(self, other: Query) -> Query:
         """Different rows that both queries have."""
@@ -129,7 +129,7 @@ class Query:
     def to_df(self, ordered: bool = True) -> DataFrame:
         """Rows in order; ``ordered=False`` spares the sort where order doesn't matter."""
         steps = timestamp_order_first(self.steps, self.spec) if self.compat_ts_order and self.spec.timestamp else self.steps
-        return lower(self.source, self.spec, steps, self.prune, ordered, self.hidden)
+        return lower(self.source, self.spec, steps, self.scan, ordered, self.hidden)
 
     def count_df(self, predicate: Predicate | None = None) -> DataFrame:
         q = self.where(predicate) if predicate is not None else self

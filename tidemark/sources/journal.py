@@ -128,6 +128,13 @@ def partition_filter(r: DateRange, unit: str) -> Column:
     return out
 
 
+def in_range(partition: str, r: DateRange, unit: str) -> bool:
+    """Whether a partition may hold rows of a time range."""
+    low = lambda v: v is None or partition >= _named(v, unit)
+    high = lambda v: v is None or partition <= _named(before(v), unit)
+    return any(low(a) and high(b) for a, b in r.intervals)
+
+
 class Journal:
     """A journal at ``path``. Opening it without a spec takes schema and spec from disk."""
 
@@ -163,14 +170,21 @@ class Journal:
 
     def read(self, version: int | None = None) -> Query:
         """A query over the rows of the newest version, or of an older one; later commits don't change it."""
-        m = self.manifest(version)
-        stored = T.StructType([*self.schema.fields, T.StructField("_commit", T.LongType()), T.StructField("_row", T.LongType()), T.StructField("c", T.StringType()), T.StructField("p", T.StringType())])
-        files = [f"{self.path}/{f}" for fs in m.files.values() for f in fs]
-        df = self.spark.read.schema(stored).option("basePath", f"{self.path}/data").parquet(*files) if files else self.spark.createDataFrame([], stored)
-        unit = self.spec.partition_by
-        prune = None if unit == "NONE" else lambda d, r: d.where(partition_filter(r, unit))
+        m, unit = self.manifest(version), self.spec.partition_by
+
+        def scan(r: DateRange) -> DataFrame:
+            if r.is_all or unit == "NONE":
+                return self._open(m.files)
+            return self._open({p: fs for p, fs in m.files.items() if in_range(p, r, unit)}).where(partition_filter(r, unit))
+
         spec = JournalSpec(self.spec.name, self.spec.timestamp, HIDDEN, self.spec.symbols, unit)
-        return Query(df, spec, prune=prune, hidden=(*HIDDEN, "c", "p"))
+        return Query(self._open({}), spec, scan=scan, hidden=(*HIDDEN, "c", "p"))
+
+    def _open(self, by: dict[str, tuple[str, ...]]) -> DataFrame:
+        """Rows of files by partition; Spark is told of these alone."""
+        stored = T.StructType([*self.schema.fields, T.StructField("_commit", T.LongType()), T.StructField("_row", T.LongType()), T.StructField("c", T.StringType()), T.StructField("p", T.StringType())])
+        files = [f"{self.path}/{f}" for fs in by.values() for f in fs]
+        return self.spark.read.schema(stored).option("basePath", f"{self.path}/data").parquet(*files) if files else self.spark.createDataFrame([], stored)
 
     # writing
 
@@ -234,7 +248,7 @@ class Journal:
         """Replaces a partition by what ``rewrite`` makes of it; fewer, sorted files by default."""
         q = self.read()
         order = [F.col(f"`{c}`") for c in q.spec.order_key]
-        rows = q.source.where(F.col("p") == partition).orderBy(*order).drop(*q.hidden)
+        rows = self._open({partition: self.manifest().files.get(partition, ())}).orderBy(*order).drop(*q.hidden)
         return self.overwrite_partition(partition, rewrite(rows))
 
     def truncate(self) -> int:
