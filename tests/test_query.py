@@ -105,6 +105,23 @@ def test_latest_over_branches_of_own_ranges(q):
     assert times(q.ql("SELECT * FROM quote LATEST BY sym WHERE (timestamp < 40 AND ex = 'Ex_3') OR (timestamp >= 200 AND ex = 'Ex_5')")) == [285]
 
 
+def test_latest_over_branches_reads_once(q):
+    """Many ORs, some with ranges of their own: one scan, one shuffle before the sort."""
+    a = ((col("timestamp") < 100) & (col("sym") == "Symbol_3")) | ((col("timestamp") >= 200) & (col("sym") == "Symbol_5"))
+    b = (col("bid") < 5) | (col("sym") == "Symbol_3")
+    c = ((col("timestamp") < 250) & (col("ask") >= 0)) | (col("ask") < 0)
+    plan = q.where(a).where(b).where(c).latest_by("sym").to_df(ordered=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 1 and "Union" not in plan and "max_by" in plan
+    assert times(q.where(a).where(b).where(c).latest_by("sym")) == [245, 83]
+
+
+def test_latest_over_branches_of_symbols_is_one_latest(q):
+    p = [(col("sym") == f"Symbol_{i}") | (col("sym") == f"Symbol_{i + 1}") | (col("bid") >= 0) for i in range(12)]
+    for x in p:
+        q = q.where(x)
+    assert "max_by" not in q.latest_by("sym").to_df(ordered=False)._jdf.queryExecution().toString() and q.latest_by("sym").count() == 20
+
+
 def test_latest_needs_a_comparable_key(spark):
     df = spark.createDataFrame([(1, bytearray(b"x"))], "timestamp long, blob binary")
     with pytest.raises(UnsupportedQueryError):

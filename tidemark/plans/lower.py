@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import UnsupportedQueryError
 from ..functions import predicates as P
-from ..operators.latest import latest_by
-from ..operators.setops import same_rows
+from ..operators.latest import latest_by, latest_by_each
 from ..spec import JournalSpec
 from .intervals import ALL, DateRange
 from .ir import Latest, Project, Reverse, Skip, Sort, Step, Take, Where
@@ -53,13 +52,13 @@ def restricted(df: DataFrame, spec: JournalSpec, r: DateRange, scan=None) -> Dat
     return df.where(P.range_column(r, spec.timestamp, df.schema[spec.timestamp].dataType))
 
 
-def _branches(p: P.Predicate | None) -> list[P.Predicate | None]:
-    """The alternatives of a predicate, if it is an OR or a conjunction that holds one."""
+def _branches(p: P.Predicate | None, ts: str) -> list[P.Predicate | None]:
+    """The alternatives of a predicate that differ in their times. An OR of one time range, or of nothing but times, stays whole."""
     parts = P.conjuncts(p)
     for i, q in enumerate(parts):
-        if isinstance(q, P.Or):
+        if isinstance(q, P.Or) and not P.only_time(q, ts) and len({P.time_range(alt, ts) for alt in q.parts}) > 1:
             rest = parts[:i] + parts[i + 1 :]
-            return [b for alt in q.parts for b in _branches(P.And((alt, *rest)))]
+            return [b for alt in q.parts for b in _branches(P.And((alt, *rest)), ts)]
     return [p]
 
 
@@ -70,11 +69,15 @@ def filtered(df: DataFrame, spec: JournalSpec, p: P.Predicate | None, latest: La
     if latest is None:
         out = restricted(df, spec, r, scan)
         return out.where(P.to_column(P.And(tuple(rest)), df.schema)) if rest else out
-    if latest.split and any(isinstance(q, P.Or) for q in rest):
-        branches = _branches(p)
-        if len({P.time_range(b, spec.timestamp) for b in branches}) > 1:
-            each = [filtered(df, spec, b, Latest(latest.key), scan) for b in branches]
-            return reduce(lambda a, b: same_rows(a, b, spec.order_key), each)
+    if latest.split and spec.timestamp:
+        by: dict[DateRange, list[P.Predicate]] = {}
+        for branch in _branches(p, spec.timestamp):
+            by.setdefault(P.time_range(branch, spec.timestamp), []).append(branch)
+        if len(by) > 1:
+            kind = df.schema[spec.timestamp].dataType
+            among = lambda t: F.lit(True) if t.is_all else P.range_column(t, spec.timestamp, kind)
+            keep = lambda bs: reduce(lambda a, b: a | b, [P.to_column(b, df.schema) for b in bs])
+            return latest_by_each(restricted(df, spec, r, scan), latest.key, spec.order_key, [(among(t), keep(bs)) for t, bs in by.items()])
     out = latest_by(restricted(df, spec, r, scan), latest.key, spec.order_key)
     return out.where(P.to_column(P.And(tuple(rest)), df.schema)) if rest else out
 
