@@ -1,21 +1,21 @@
 """Approximate nearest neighbours by balanced posting lists.
 
 Centroids are fitted by k-means with a penalty on full clusters, on a bounded sample of SAMPLE vectors;
-there are at most MAX_CENTROIDS. They stay in memory with a graph of their near ones, and a best-first
+there are about the square root of the number of vectors, and at most MAX_CENTROIDS, so that lists and their number grow alike. They stay in memory with a graph of their near ones, and a best-first
 walk over the graph finds the centroids nearest to a vector. Every vector is filed in the list of its
 nearest centroid, and a boundary vector also in those of centroids hardly farther away. A query reads the
 lists of the centroids within a distance ratio of its nearest one, and more of the nearest until they hold enough
 vectors. A long list is dealt out in blocks, each its
 own group, so a vector that occurs very often burdens no task.
 
-Vectors null, empty, zero or with null or non-finite components take no part, nor do null ids. Rows that
-repeat a vec_id count once each. Vectors are compared with those of equal length only. Extra columns
+Vectors null, empty, zero or with null or non-finite components take no part, nor do null ids. Equal rows
+of one vec_id count once; rows of one vec_id with different vectors once each. Vectors are compared with those of equal length only. Extra columns
 aren't read. Without queries the result is empty.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +26,20 @@ from pyspark.sql.window import Window as W
 from .common import bounded_batches, drop_tables, materialize, pick
 from .vectors import matrix, one_length, unit, usable
 
-SAMPLE, MAX_CENTROIDS, LIST_SIZE = 20_000, 4096, 64
+SAMPLE, MAX_CENTROIDS = 20_000, 4096
 #: Copies of a boundary vector at most, and how much farther than the nearest their centroids may be.
 COPIES, COPY_RATIO = 2, 1.05
 #: Lists that a query reads at most, as a share of all, and how much farther their centroids may be.
-READ_SHARE, READ_RATIO = 0.5, 1.3
+READ_SHARE, READ_RATIO = 0.4, 1.3
+#: Vectors, copies counted, that the lists read for a query hold at least.
+LEAST_READ = 4096
 NEIGHBOURS, BLOCK = 24, 2048
 
 
+def number_of_lists(n: int) -> int:
+    return round(n**0.5)
+
+
 def fit_centroids(x: np.ndarray, k: int, rounds: int = 12, seed: int = 3) -> np.ndarray:
     """Unit centroids of unit rows; the penalty grows with a cluster's share, so lists come out alike in length."""
     rng = np.random.default_rng(seed)
@@ -127,13 +133,24 @@ def _cells(graphs, most, ratio: float, sizes=None, least: int = 0):
     return run
 
 
+def _once(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors, equal rows once."""
+    ids, x = table.column("id").to_numpy(), matrix(table.column("embedding"))
+    if len(np.unique(ids)) < len(ids):
+        seen: dict[tuple[int, bytes], int] = {}
+        for r, i in enumerate(ids.tolist()):
+            seen.setdefault((i, x[r].tobytes()), r)
+        rows = np.fromiter(seen.values(), np.int64, len(seen))
+        ids, x = ids[rows], x[rows]
+    return ids, x
+
+
 def _nearest(k: int):
     def run(key, left, right):
-        """The k best candidates of this block for each query, and all that tie with the last."""
+        """The k best candidates of this block for each query."""
         out: list[list[np.ndarray]] = [[], [], []]
         if left.num_rows and right.num_rows:
-            q, c = matrix(left.column("embedding")), matrix(right.column("embedding"))
-            qid, cid = left.column("id").to_numpy(), right.column("id").to_numpy()
+            (qid, q), (cid, c) = _once(left), _once(right)
             uq, uc = unit(q), unit(c)
             for a in range(0, len(q), 256):
                 sims = uq[a : a + 256] @ uc.T
@@ -156,11 +173,12 @@ def _nearest(k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE, list_size: int = LIST_SIZE) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE, lists_of: Callable[[int], int] = number_of_lists, least_read: int = LEAST_READ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row of ``vectors`` (vec_id, embedding) that is a query.
 
     Candidates are all rows but those of the query's own id; nearness is the cosine in double precision,
-    of equal ones the smaller vec_id comes first.
+    of equal ones the smaller vec_id comes first. ``lists_of`` says how many lists so many vectors get;
+    a query reads lists until they hold ``least_read`` vectors, or all.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -176,7 +194,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPL
     fitted = {}
     for d, n in sizes.items():
         x = unit(np.array(drawn[d], float)) if d in drawn else np.eye(1, d)
-        fitted[d] = Graph(fit_centroids(x, int(np.clip(n // list_size, 1, min(MAX_CENTROIDS, len(x))))))
+        fitted[d] = Graph(fit_centroids(x, int(np.clip(lists_of(n), 1, min(MAX_CENTROIDS, len(x))))))
     graphs = spark.sparkContext.broadcast(fitted)  # MAX_CENTROIDS vectors of each length at most
     schema = "id long, dim int, embedding array<float>, cell int" if dict(fine.dtypes)["embedding"] == "array<float>" else "id long, dim int, embedding array<double>, cell int"
     if "array<float>" not in schema:
@@ -187,7 +205,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPL
         held[r["dim"]][r["cell"]] = r["n"]
     sizes = spark.sparkContext.broadcast(held)
     asked = fine.where(is_query if is_query is not None else F.lit(True))
-    asked = materialize(asked.mapInArrow(_cells(graphs, lambda n: max(8, int(n * READ_SHARE)), READ_RATIO, sizes, COPIES * (k + 1)), schema), "queries")
+    asked = materialize(asked.mapInArrow(_cells(graphs, lambda n: max(8, int(n * READ_SHARE)), READ_RATIO, sizes, max(least_read, COPIES * (k + 1))), schema), "queries")
     cell = ["dim", "cell"]
     blocks = lambda df, name: df.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     shape = materialize(blocks(lists, "gl").join(blocks(asked, "gq"), cell), "shape")  # a row for each centroid at most
@@ -196,8 +214,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPL
     right = lists.join(shape, cell).select(*cell, "id", "embedding", spread("bl", "gl"), F.explode(F.sequence(F.lit(0), F.col("gq") - 1)).alias("bq"))
     group = [*cell, "bq", "bl"]
     found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(_nearest(k), "query_id long, vec_id long, score double")
-    found = found.distinct()  # a copy of a boundary vector may be found twice
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    out = materialize(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest")
+    # each task keeps k for a query before the one shuffle; a copy of a boundary vector has the rank of the other
+    rank = F.dense_rank().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = found.withColumn("rank", rank).where(F.col("rank") <= k).dropDuplicates(["query_id", "rank"])
+    out = materialize(found.select("query_id", "rank", "vec_id", "score"), "nearest")
     drop_tables(lists, asked, shape)
     return out
