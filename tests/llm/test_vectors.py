@@ -42,7 +42,7 @@ def test_hadamard_is_orthogonal():
 
 def test_buckets_are_the_best_pairs_of_axes():
     x = np.random.default_rng(1).normal(size=(7, 24))
-    b = crosspolytope.buckets(x, tables=2, probes=3)
+    b = crosspolytope.buckets(x, tables=2, hashes=2, probes=3)
     for t in range(2):
         ys = [crosspolytope.rotated(x, 2 * t + k + 1) for k in (0, 1)]
         for i in range(7):
@@ -147,3 +147,22 @@ def test_equal_rows_of_one_id_count_once(spark):
     rows = [(7, [1.0, 0.1], 1)] * 12 + [(i, [1.0, 0.1 * i], 1) for i in (3, 4, 5, 6)] + [(50, [1.0, 0.0], 1)] * 3
     found = postings.search(spark.createDataFrame(rows, SCHEMA).repartition(3), F.col("id") == 50).orderBy("rank").collect()
     assert [(r["rank"], r.vec_id) for r in found] == [(1, 7), (2, 3), (3, 4), (4, 5), (5, 6)]
+
+
+def test_no_bucket_twice():
+    b = crosspolytope.buckets(np.random.default_rng(2).normal(size=(50, 2)), tables=4, hashes=3, probes=20)
+    for row in b.reshape(200, 21).tolist():
+        real = [n for n in row if n >= 0]
+        assert row[0] >= 0 and len(real) == len(set(real)) > 1
+
+
+def test_pairs_at_the_threshold_meet():
+    """Pairs of cosine 0.93 and no more: hardly one in 10,000 meets in no table."""
+    rng = np.random.default_rng(4)
+    x, z = rng.normal(size=(4000, 64)), rng.normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.93 * x + (1 - 0.93**2) ** 0.5 * z / np.linalg.norm(z, axis=1, keepdims=True)
+    a, b = crosspolytope.buckets(x), crosspolytope.buckets(y)
+    met = (a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)
+    assert met.any(axis=1).sum() >= 3999 and met.mean() > 0.6

@@ -1,11 +1,12 @@
 """Near-duplicate vectors by cross-polytope hashing.
 
 A hash is the signed axis nearest to the vector after three rounds of random signs and a fast Hadamard
-transform. TABLES tables use pairs of hashes; a vector is filed under its own bucket of each table and
+transform. TABLES tables use HASHES hashes each; a vector is filed under its own bucket of each table and
 also under the next PROBES best ones (multiprobe), and meets the vectors whose own bucket one of them is.
 
-Equal vectors of one label form a class first, with its size and smallest id, so a vector that occurs a
-million times is one row. Buckets are split into blocks, and a group is a pair of one bucket's blocks, or a
+Equal vectors of one label (by 128 bits of hash) form a class first, with its size and smallest id, so a
+vector that occurs a million times is one row. Only numbers of buckets are shuffled until those are known in
+which vectors meet. These buckets are split into blocks, and a group is a pair of one bucket's blocks, or a
 whole bucket of one block. A task takes some thousand rows of groups at once, most of which are small. It
 computes cosines of their pairs in double precision, counts each pair once (in the first table and bucket
 where it meets), and emits for each vector its number of links, and links only as far as they join
@@ -29,7 +30,7 @@ from .common import bounded_batches, drop_tables, materialize, pick
 from .components import components
 from .vectors import matrix, one_length, unit, usable
 
-TABLES, PROBES, BLOCK = 10, 5, 1024
+TABLES, HASHES, PROBES, BLOCK = 12, 3, 7, 1024
 #: Rows of buckets that a task looks at together, as they come on average; rows up to which a bucket's pairs are listed one by one; pairs at a time.
 TOGETHER, SMALL, PAIRS = 4096, 48, 1 << 14
 
@@ -53,37 +54,39 @@ def rotated(x: np.ndarray, seed: int) -> np.ndarray:
     return x
 
 
-def buckets(x: np.ndarray, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
-    """Numbers of 31 bits [row, table, 1 + probes]: the own bucket first, then the next best pairs of axes, all different."""
-    out = np.empty((len(x), tables, 1 + probes), np.int64)
+def buckets(x: np.ndarray, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES) -> np.ndarray:
+    """Numbers of 31 bits [row, table, 1 + probes]: the own bucket first, then the next best tuples of axes; -1 in place of one that was there before, or if a short vector has fewer."""
+    out = np.full((len(x), tables, 1 + probes), -1, np.int64)
     rows = np.arange(len(x))[:, None]
+    axes = 2 << max(0, x.shape[1] - 1).bit_length()
     for t in range(tables):
-        best = []
-        for k in (0, 1):
-            y = rotated(x, 2 * t + k + 1)
+        number, loss = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+        for k in range(hashes):
+            y = rotated(x, hashes * t + k + 1)
             size = np.abs(y)
-            m = min(1 + probes, y.shape[1])
-            top = np.argsort(-size, axis=1, kind="stable")[:, :m]
-            best.append((2 * top + (y[rows, top] < 0), size[rows, top[:, :1]] - size[rows, top]))
-        (a, loss_a), (b, loss_b) = best
-        loss = (loss_a**2)[:, :, None] + (loss_b**2)[:, None, :]
-        order = np.argsort(loss.reshape(len(x), -1), axis=1, kind="stable")[:, : 1 + probes]
-        both = ((a[:, :, None] * (2 << max(0, x.shape[1] - 1).bit_length()) + b[:, None, :]) % 2_147_483_647).reshape(len(x), -1)[rows, order]
-        out[:, t, : both.shape[1]] = both
-        out[:, t, both.shape[1] :] = both[:, :1]  # a short vector has fewer
+            top = np.argsort(-size, axis=1, kind="stable")[:, : 1 + probes]
+            far = size[rows, top[:, :1]] - size[rows, top]
+            # the best tuples extend the best shorter ones
+            loss = (loss[:, :, None] + (far**2)[:, None, :]).reshape(len(x), -1)
+            number = ((number[:, :, None] * axes + (2 * top + (y[rows, top] < 0))[:, None, :]) % 2_147_483_647).reshape(len(x), -1)
+            order = np.argsort(loss, axis=1, kind="stable")[:, : 1 + probes]
+            number, loss = number[rows, order], loss[rows, order]
+        out[:, t, : number.shape[1]] = number
+    for j in range(1, 1 + probes):
+        out[:, :, j][(out[:, :, j : j + 1] == out[:, :, :j]).any(axis=2)] = -1
     return out
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, dim, embedding) -> rep and its buckets, flat."""
+    """Adds a vector's buckets, flat, to (rep, label, dim, n, embedding)."""
     for batch in batches:
-        dims = batch.column(1).to_numpy()
+        dims = batch.column(2).to_numpy()
         for d in np.unique(dims):
             part = batch.filter(pa.array(dims == d))
-            keys = buckets(unit(matrix(part.column(2))))
+            keys = buckets(unit(matrix(part.column(4))))
             flat = keys.reshape(len(keys), -1).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["rep", "keys"])
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "keys"])
 
 
 def _small_pairs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -120,18 +123,18 @@ def _linking(least: float):
 
         The table holds many buckets, each whole or as a pair of its blocks.
         """
-        label = table.column("label").combine_chunks().dictionary_encode().indices
-        place = [label.to_numpy(), *(table.column(c).to_numpy() for c in ("t", "bucket", "i", "j"))]
+        label = table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(table.num_rows, TABLES, -1)
+        t, probe = np.divmod(table.column("at").to_numpy(), keys.shape[2])
+        place = [label, t, keys[np.arange(len(t)), t, probe], *(table.column(c).to_numpy() for c in ("i", "j"))]
         order = np.lexsort(place[::-1])
-        table, place = table.take(pa.array(order)), [c[order] for c in place]
+        table, keys, own, place = table.take(pa.array(order)), keys[order], probe[order] == 0, [c[order] for c in place]
         _, t, bucket, i, j = place
         new = np.ones(len(t) + 1, bool)
         new[1:-1] = np.any([c[1:] != c[:-1] for c in place], axis=0)
         bounds = np.flatnonzero(new)
         starts, ends = bounds[:-1], bounds[1:]
         x, n, side = unit(matrix(table.column("embedding"))), table.column("n").to_numpy(), table.column("side").to_numpy()
-        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(x), TABLES, -1)
-        own = keys[np.arange(len(x)), t, 0] == bucket
         reps, who = np.unique(table.column("rep").to_numpy(), return_inverse=True)
         links = np.zeros(len(reps), np.int64)
         parent = list(range(len(reps)))
@@ -192,30 +195,31 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, block: int = BLOCK)
     bounded_batches(spark)
     cols = pick(vectors, "vec_id", "embedding", "label").withColumn("vec_id", F.col("vec_id").cast("long"))
     fine = one_length(cols.where(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()))
-    classes = materialize(fine.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
-    hashed = materialize(classes.select("rep", "dim", "embedding").mapInArrow(_hashed, "rep long, keys array<int>"), "hashed")
-    labels = classes.select("rep", "label", "dim")
-    width = 1 + PROBES
-    every = F.posexplode("keys").alias("at", "bucket")
-    filed = hashed.select("rep", every).select("rep", F.floor(F.col("at") / width).cast("int").alias("t"), (F.col("at") % width == 0).alias("own"), "bucket")
-    filed = filed.groupBy("rep", "t", "bucket").agg(F.max("own").alias("own")).join(labels, "rep")
-    keys = ["label", "dim", "t", "bucket"]
-    busy = filed.groupBy(*keys).agg(F.count("*").alias("members"), F.max("own").alias("any_own")).where("members > 1 and any_own")
-    busy = busy.select(*keys, F.ceil(F.col("members") / block).cast("int").alias("g"))
-    member = filed.join(busy, keys).withColumn("mine", F.pmod(F.xxhash64("rep"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    group = [*keys, "i", "j"]
-    member = member.select(*keys, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rep")
+    fine = fine.withColumn("d0", F.xxhash64("dim", "embedding")).withColumn("d1", F.xxhash64(F.lit(1), F.reverse("embedding")))
+    same = ["label", "d0", "d1"]
+    classes = materialize(fine.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("embedding").alias("embedding")), "classes")
+    kinds = {f.name: f.dataType.simpleString() for f in classes.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("rep", "label", "dim", "n", "embedding")) + ", keys array<int>"
+    hashed = materialize(classes.select("rep", "label", "dim", "n", "embedding").mapInArrow(_hashed, schema), "hashed")
+    filed = hashed.select("rep", "label", "dim", F.posexplode("keys").alias("at", "bucket")).where("bucket >= 0")
+    table = F.floor(F.col("at") / (1 + PROBES)).cast("int")
+    filed = filed.select("rep", "at", F.xxhash64("label", "dim", table, "bucket").alias("place"))  # places of one number are told apart later
+    own = (F.col("at") % (1 + PROBES) == 0).alias("own")
+    busy = filed.groupBy("place").agg(F.count("*").alias("members"), F.max(own).alias("any_own")).where("members > 1 and any_own")
+    busy = busy.select("place", F.ceil(F.col("members") / block).cast("int").alias("g"))
+    member = filed.join(busy, "place").withColumn("mine", F.pmod(F.xxhash64("rep"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    member = member.select("place", "at", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "rep")
     member_table = materialize(member, "members")
     parts = max(1, member_table.count() // TOGETHER)
-    member = member_table.withColumn("part", F.pmod(F.xxhash64(*group), F.lit(parts)).cast("int"))
-    member = member.join(classes.select("rep", "n", "embedding"), "rep").join(hashed, "rep")
+    member = member_table.withColumn("part", F.pmod(F.xxhash64("place", "i", "j"), F.lit(parts)).cast("int")).drop("place")
+    member = member.join(hashed, "rep")
     found = materialize(member.groupBy("dim", "part").applyInArrow(_linking(least), "a long, b long, links long"), "found")
 
     comp = components(found.where("b is not null").select("a", "b"))
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     of_class = classes.join(links.withColumnRenamed("a", "rep"), "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("label", "dim", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    placed = fine.join(of_class, ["label", "dim", "embedding"]).select("vec_id", "n_links", "component_id")
+    of_class = of_class.select(*same, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    placed = fine.select("vec_id", *same).join(of_class, same).select("vec_id", "n_links", "component_id")
     alone = cols.where(~(usable(F.col("embedding")) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = placed.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
     out = materialize(out, "duplicates")
