@@ -30,7 +30,7 @@ SAMPLE, MAX_CENTROIDS = 20_000, 4096
 #: Copies of a boundary vector at most, and how much farther than the nearest their centroids may be.
 COPIES, COPY_RATIO = 2, 1.05
 #: Lists that a query reads at most, as a share of all, and how much farther their centroids may be.
-READ_SHARE, READ_RATIO = 0.4, 1.3
+READ_SHARE, READ_RATIO = 0.45, 1.3
 #: Vectors, copies counted, that the lists read for a query hold at least.
 LEAST_READ = 4096
 NEIGHBOURS, BLOCK = 24, 2048
