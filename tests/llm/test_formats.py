@@ -1,6 +1,7 @@
 import re
 
 import duckdb
+import pyarrow as pa
 import pytest
 from brute import frame
 from pyspark.sql import functions as F
@@ -61,14 +62,33 @@ def test_pairs_against_sql(spark, larger):
     con.execute("create view conversations as select * from '/root/testdata/sf0.01/conversations.parquet'")
     want = con.execute(preference.ORACLE_SQL)
     names = [d[0] for d in want.description]
-    got = preference.digests(preference.format_pairs(preference.neighbours(larger("conversations")))).select(*names)
+    got = preference.digests(preference.format_sides(preference.swapped_ends(larger("conversations")))).select(*names)
+    assert got.where("prompt_turns > 0 and chosen_md5 <> rejected_md5").count() > 90
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
     assert not re.search("Python|Arrow|Pandas", got._jdf.queryExecution().toString())
 
 
 def test_extra_columns(spark):
     df = spark.createDataFrame([(0, 0, "user", "a", "x", 1), (1, 0, "user", "a", "x", 1)], "conv_id long, turn long, role string, text string, side string, PAIR_ID long")
-    assert [r.prompt_turns for r in preference.format_pairs(preference.neighbours(df)).collect()] == [1]
+    assert [r.prompt_turns for r in preference.format_sides(preference.swapped_ends(df)).collect()] == [1, 1]
+
+
+def test_swapped_ends(spark):
+    rows = [
+        (4, 0, "user", "a"), (4, 1, "assistant", "b"), (5, 7, "user", None), (5, 7, "user", None), (5, 8, None, "c"), (6, 0, "user", "alone"), (None, 0, "user", "lost"),
+        (-2, None, "user", "x" * 300_000), (-1, 0, "assistant", ""),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = {r.pair_id: (r.prompt_turns, r.chosen, r.rejected) for r in preference.format_sides(preference.swapped_ends(df)).collect()}
+    assert set(out) == {4, 5, 6, -2, -1}
+    assert out[4] == (1, "<|assistant|>\nb<|end|>\n", "<|none|>\nc<|end|>\n") and out[5] == (2, "<|none|>\nc<|end|>\n", "<|assistant|>\nb<|end|>\n")
+    assert out[6] == (0, "<|user|>\nalone<|end|>\n", None) and out[-2][0] == 0 and len(out[-1][2]) > 300_000
+    con = duckdb.connect()
+    con.register("conversations", pa.table({c: [r[i] for r in rows] for i, c in enumerate(df.columns)}))
+    want = con.execute(preference.ORACLE_SQL)
+    got = preference.digests(preference.format_sides(preference.swapped_ends(df))).select(*[d[0] for d in want.description])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+    assert preference.swapped_ends(df.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("change", [

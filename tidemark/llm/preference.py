@@ -64,7 +64,12 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     cols = pick(turns, "pair_id", "side", "turn", "role", "text").where("pair_id is not null")
     turn = F.struct("turn", "role", "text")
     both = cols.groupBy("pair_id").agg(*[F.sort_array(F.collect_list(F.when(F.col("side") == s, turn))).alias(s) for s in ("chosen", "rejected")])
-    both = both.where((F.size("chosen") > 0) | (F.size("rejected") > 0)).withColumn("n", common_turns(F.col("chosen"), F.col("rejected")))
+    return format_sides(both.where((F.size("chosen") > 0) | (F.size("rejected") > 0)))
+
+
+def format_sides(both: DataFrame) -> DataFrame:
+    """format_pairs() of (pair_id, chosen, rejected), each side an array of (turn, role, text) in order; a side that is missing is empty."""
+    both = both.withColumn("n", common_turns(F.col("chosen"), F.col("rejected")))
     rest = lambda s: F.slice(F.col(s), F.col("n") + 1, F.greatest(F.size(s), F.lit(1)))
     there = lambda s, x: F.when(F.size(s) > 0, x)
     return both.select(
@@ -74,10 +79,20 @@ def format_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """Pairs of conversations 2n (chosen) and 2n + 1 (rejected), for a table that has no preferences of its own."""
-    c = pick(conversations, "conv_id", "turn", "role", "text")
-    return c.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), F.when(F.pmod("conv_id", F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text")
+def swapped_ends(conversations: DataFrame) -> DataFrame:
+    """Sides for format_sides() of a table that has no preferences of its own, a pair for each conversation.
+
+    Chosen is the conversation, rejected the same up to its last turn, which comes from its neighbour
+    instead (2n and 2n + 1 are neighbours). Without a neighbour there is no rejected side. Rows of a null
+    conv_id are left out; equal rows are turns of their own; other columns aren't read.
+    """
+    c = pick(conversations, "conv_id", "turn", "role", "text").withColumn("conv_id", F.col("conv_id").cast("long")).where("conv_id is not null")
+    turn = F.struct("turn", "role", "text")
+    whole = c.groupBy(F.col("conv_id").alias("pair_id")).agg(F.sort_array(F.collect_list(turn)).alias("chosen"))
+    last = c.groupBy(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id")).agg(F.max(turn).alias("last"))
+    head = F.slice("chosen", F.lit(1), F.size("chosen") - 1)
+    rejected = F.when(F.col("last").isNotNull(), F.concat(head, F.array("last"))).otherwise(F.slice("chosen", 1, 0))
+    return whole.join(last, "pair_id", "left").select("pair_id", "chosen", rejected.alias("rejected"))
 
 
 def digests(pairs: DataFrame) -> DataFrame:
@@ -90,9 +105,12 @@ def digests(pairs: DataFrame) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-with t as (select floor(conv_id / 2)::bigint as pair_id, conv_id % 2 as side, turn, role, text,
-  row_number() over (partition by conv_id order by turn, role nulls first, text nulls first) as i,
-  '<|' || coalesce(role, 'none') || '|>' || chr(10) as head, coalesce(text, '') || '<|end|>' || chr(10) as body from conversations where conv_id is not null),
+with c as (select conv_id, role, text, count(*) over (partition by conv_id) as size,
+  row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) as i from conversations where conv_id is not null),
+z as (select xor(conv_id, 1) as conv_id, role, text from c where i = size),
+s as (select conv_id as pair_id, 0 as side, i, role, text from c union all
+  select c.conv_id, 1, c.i, case when i < size then c.role else z.role end, case when i < size then c.text else z.text end from c join z using (conv_id)),
+t as (select *, '<|' || coalesce(role, 'none') || '|>' || chr(10) as head, coalesce(text, '') || '<|end|>' || chr(10) as body from s),
 n as (select pair_id, count(distinct side) as sides, max(i) filter (side = 0) as n0, max(i) filter (side = 1) as n1 from t group by 1),
 d as (select a.pair_id, min(a.i) as first_diff from t a join t b on a.pair_id = b.pair_id and a.i = b.i and a.side = 0 and b.side = 1
   where a.role is distinct from b.role or a.text is distinct from b.text group by 1),

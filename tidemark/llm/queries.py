@@ -42,7 +42,7 @@ def op7_vector_duplicates(spark, sf_dir):
 
 
 def op8_preference_format(spark, sf_dir):
-    return preference.digests(preference.format_pairs(preference.neighbours(_table(spark, sf_dir, "conversations"))))
+    return preference.digests(preference.format_sides(preference.swapped_ends(_table(spark, sf_dir, "conversations"))))
 
 
 def op9_nearest_neighbours(spark, sf_dir):
