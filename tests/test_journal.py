@@ -163,3 +163,35 @@ def test_a_journal_without_time_keeps_the_order_of_appends(spark, tmp_path):
     j.append(spark.createDataFrame([(1,), (2,)], schema).coalesce(1))
     j.append(spark.createDataFrame([(0,)], schema))
     assert [r.v for r in j.read().to_df().collect()] == [0, 2, 1]
+
+
+def test_vacuum_keeps_what_readers_need(spark, journal):
+    journal.append(frame(spark, range(5)))
+    journal.append(frame(spark, range(5, 10)))
+    journal.compact("2015-01")
+    old, new = journal.read(2), journal.read()
+    files = lambda: len(journal.store.files("data"))
+    n = files()
+    assert journal.vacuum(1, hours=1) == 0 and files() == n  # too young
+    assert days(journal.read()) == days(new) == list(range(9, -1, -1)) and days(old) == days(new)
+    with journal.writer() as w:
+        w.append(frame(spark, [20]))
+        assert journal.vacuum(1, hours=1) == 0
+        w.commit()
+    assert journal.vacuum(2, hours=0) > 0 and days(journal.read()) == [20, *range(9, -1, -1)] and days(journal.read(3)) == list(range(9, -1, -1))
+    assert set(journal.store.files("data")) == {f for fs in journal.manifest().files.values() for f in fs}
+    assert journal.vacuum(1, hours=0) == 0 and journal.append(frame(spark, [21])) == 5
+    with pytest.raises(QueryError):
+        journal.vacuum(0)
+
+
+def test_closed_partitions_are_compacted(spark, tmp_path):
+    journal = Journal(spark, str(tmp_path / "j"), SPEC, SCHEMA, compact_closed=True)
+    for d in (0, 1, 2, 3):
+        journal.append(frame(spark, [d]))
+    assert journal.manifest().version == 4 and len(journal.manifest().files["2015-01"]) == 4
+    assert journal.append(frame(spark, range(25, 35))) == 6
+    m = journal.manifest()
+    assert m.generations == {"2015-01": 1} and len(m.files["2015-01"]) < 4 and m.rows == 14
+    assert days(journal.read()) == [*range(34, 24, -1), 3, 2, 1, 0] and days(journal.read(4)) == [3, 2, 1, 0]
+    assert journal.append(frame(spark, [40])) == 7 and journal.manifest().last is not None

@@ -11,6 +11,7 @@ Hadoop's file systems, so a path may be in any store that Spark reads.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -50,14 +51,15 @@ class _Store:
         p = self.at(folder)
         return [s.getPath().getName() for s in self.fs.listStatus(p)] if self.fs.exists(p) else []
 
-    def files(self, folder: str) -> list[str]:
-        """Data files below a folder, relative to the root."""
+    def files(self, folder: str, before: float | None = None) -> list[str]:
+        """Data files below a folder, relative to the root; those last written before a time, if given, in seconds since 1970."""
         p, out = self.at(folder), []
         if self.fs.exists(p):
             base, it = self.fs.makeQualified(self.root).toString().rstrip("/") + "/", self.fs.listFiles(p, True)
             while it.hasNext():
-                f = it.next().getPath()
-                if f.getName().endswith(".parquet"):
+                status = it.next()
+                f = status.getPath()
+                if f.getName().endswith(".parquet") and (before is None or status.getModificationTime() < 1000 * before):
                     out.append(f.toString().removeprefix(base))
         return sorted(out)
 
@@ -136,11 +138,15 @@ def in_range(partition: str, r: DateRange, unit: str) -> bool:
 
 
 class Journal:
-    """A journal at ``path``. Opening it without a spec takes schema and spec from disk."""
+    """A journal at ``path``. Opening it without a spec takes schema and spec from disk.
 
-    def __init__(self, spark: SparkSession, path: str, spec: JournalSpec | None = None, schema: T.StructType | None = None, read_only: bool = False):
+    With ``compact_closed``, a commit that begins a later partition compacts those it leaves behind, if they have several files.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, spec: JournalSpec | None = None, schema: T.StructType | None = None, read_only: bool = False, compact_closed: bool = False):
         self.spark, self.path, self.store, self.read_only = spark, path.rstrip("/"), _Store(spark, path), read_only
         self.on_commit: list[Callable[[int, int], None]] = []
+        self.compact_closed = compact_closed
         if self.store.fs.exists(self.store.at("_spec.json")):
             d = json.loads(self.store.read("_spec.json"))
             own = JournalSpec(d["name"], d["timestamp"], (), tuple(d["symbols"]), d["partition_by"])
@@ -251,6 +257,26 @@ class Journal:
         rows = self._open({partition: self.manifest().files.get(partition, ())}).orderBy(*order).drop(*q.hidden)
         return self.overwrite_partition(partition, rewrite(rows))
 
+    def vacuum(self, versions: int = 10, hours: float = 168) -> int:
+        """Removes what no reader of the last ``versions`` versions needs; the number of data files removed.
+
+        Files younger than ``hours`` stay, as a writer may have staged them and not committed yet: no
+        transaction may last longer. Readers of older versions, if any are left, fail.
+        """
+        if self.read_only:
+            raise QueryError(f"{self.path} was opened for reading")
+        if versions < 1:
+            raise QueryError("the newest version can't be removed")
+        old = self.store.files("data", time.time() - 3600 * hours)  # before the log is read: what is committed since is younger
+        log = sorted(int(n[:-5]) for n in self.store.names("_log") if n.endswith(".json"))
+        needed = {f for v in log[-versions:] for fs in self.manifest(v).files.values() for f in fs}
+        for v in log[:-versions]:
+            self.store.delete(f"_log/{v}.json")
+        gone = [f for f in old if f not in needed]
+        for f in gone:
+            self.store.delete(f)
+        return len(gone)
+
     def truncate(self) -> int:
         m = self.manifest()
         self._publish(replace(m, version=m.version + 1, files={}, last=None, rows=0))
@@ -281,7 +307,13 @@ class Writer:
         version = self.base.version + 1
         streams = self.base.streams | dict([stream] if stream else [])
         self.journal._publish(replace(self.base, version=version, files={k: tuple(v) for k, v in self.files.items()}, last=self.last, rows=self.rows, streams=streams))
+        before = set(self.base.files)
         self.staged, self.base = [], self.journal.manifest(version)
+        if self.journal.compact_closed and before and max(self.base.files) > max(before):
+            for p in sorted(self.base.files)[:-1]:
+                if p >= max(before) and len(self.base.files[p]) > 1:
+                    version = self.journal.compact(p)
+            self.base = self.journal.manifest(version)
         return version
 
     def rollback(self) -> None:
